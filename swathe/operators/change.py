@@ -195,7 +195,7 @@ def base_change_type(d_urban: Column, d_veg: Column, d_water: Column) -> Column:
         .otherwise("structural_change"))
 
 
-def _base_note() -> Column:
+def base_note() -> Column:
     area = F.format_string("%,.0f m² altered)", F.col("altered_area_m2"))
     num = lambda c: F.format_string("%.1f", F.col(c))
     urban, veg = num("d_urban"), num("d_veg")

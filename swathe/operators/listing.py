@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathe.functions import geometry
@@ -214,8 +214,9 @@ def feedback_boost(scored: DataFrame, feedback: DataFrame, step: float = 0.01, l
 
 
 def change_persistence(events: DataFrame) -> DataFrame:
-    """First sighting and number of sightings of a change type at a place (same centre)."""
-    site = Window.partitionBy(
-        F.round("center_lon", 3), F.round("center_lat", 3), "change_type")
-    return events.withColumns({
-        "first_seen": F.min("after_date").over(site), "sightings": F.count("*").over(site)})
+    """Earliest and latest sighting and their number, per place (centre to 3 digits) and type."""
+    return events.groupBy(
+        F.round("center_lon", 3).alias("site_lon"), F.round("center_lat", 3).alias("site_lat"),
+        "change_type").agg(
+        F.min("after_date").alias("first_seen"), F.max("after_date").alias("last_seen"),
+        F.count("*").alias("sightings"))

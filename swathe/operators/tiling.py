@@ -136,66 +136,69 @@ def skipped_counts(tiles: DataFrame, config: TilingConfig = TilingConfig()) -> D
 
 # -- contrast ----------------------------------------------------------------------
 
-def _long_form(pixels: DataFrame, bands: list[str], nodata: float | None) -> DataFrame:
-    """(tile_id, y, x, band, value, is_nodata) with one row per band value."""
-    values = F.array(*[
-        F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("value")) for b in bands])
-    return pixels.select(
-        "tile_id", "y", "x", nodata_mask(bands, nodata).alias("is_nodata"),
-        F.inline(values))
-
-
-def band_percentiles(long: DataFrame) -> DataFrame:
-    """Exact p2 and p98 per tile and band over valid finite values.
+def band_percentiles(pixels: DataFrame, bands: list[str], nodata: float | None = None) -> DataFrame:
+    """One row per tile: n, top, p2 and p98 of each band's valid finite values, as structs.
 
     Values are counted first, so what is shuffled is bounded by the distinct
-    values of a tile and not by its pixels.
+    values of a tile and not by its pixels. The percentiles are exact.
     """
-    valid = long.where(~F.col("is_nodata") & ~F.isnan("value")
-                       & (F.abs(F.col("value")) < float("inf")))
+    values = F.array(*[
+        F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("value")) for b in bands])
+    valid = pixels.where(~nodata_mask(bands, nodata)).select("tile_id", F.inline(values)).where(
+        ~F.isnan("value") & (F.abs(F.col("value")) < float("inf")))
     counted = valid.groupBy("tile_id", "band", "value").agg(F.count("*").alias("n"))
-    quantiles = F.percentile("value", F.array(F.lit(0.02), F.lit(0.98)), F.col("n"))
-    return counted.groupBy("tile_id", "band").agg(
-        F.sum("n").alias("n"), F.max("value").alias("top"), quantiles.alias("q")
-    ).select("tile_id", "band", "n", "top", F.col("q")[0].alias("p2"), F.col("q")[1].alias("p98"))
+    ends = F.array(F.lit(0.02), F.lit(0.98))
 
+    def stats(band: str) -> Column:
+        value = F.when(F.col("band") == band, F.col("value"))
+        q = F.percentile(value, ends, F.col("n"))
+        n = F.coalesce(F.sum(F.when(F.col("band") == band, F.col("n"))), F.lit(0))
+        return F.struct(n.alias("n"), F.max(value).alias("top"), q[0].alias("p2"), q[1].alias("p98")).alias(
+            f"{band}_stats")
 
-def _with_percentiles(pixels, bands, nodata) -> DataFrame:
-    long = _long_form(pixels, bands, nodata)
-    return long.join(band_percentiles(long), ["tile_id", "band"], "left").withColumns({
-        "enough": F.coalesce(F.col("n") > 10, F.lit(False)),
-        "spread": F.coalesce(F.col("p98") > F.col("p2"), F.lit(False))})
+    return counted.groupBy("tile_id").agg(*[stats(b) for b in bands])
+
+
+def _stretched(pixels: DataFrame, bands: list[str], nodata: float | None, rule) -> dict[str, Column]:
+    """``rule(value, stats, enough, spread)`` of each band; 0 where there is no data."""
+    out = {}
+    for band in bands:
+        stats, value = F.col(f"{band}_stats"), F.col(band).cast("double")
+        enough = F.coalesce(stats["n"] > 10, F.lit(False))
+        spread = F.coalesce(stats["p98"] > stats["p2"], F.lit(False))
+        out[band] = F.when(nodata_mask(bands, nodata), 0.0).otherwise(rule(value, stats, enough, spread))
+    return out
 
 
 def percentile_stretch(
     pixels: DataFrame, bands: list[str], nodata: float | None = None
 ) -> DataFrame:
     """Band values stretched to 0..1 between the tile's 2nd and 98th percentile."""
-    value = F.col("value")
-    ceiling = F.coalesce(F.nullif(F.col("top"), F.lit(0.0)), F.lit(1.0))
-    stretched = (
-        F.when(F.col("is_nodata"), 0.0)
-        .when(F.col("enough") & F.col("spread"),
-              raster.stretch(value, F.col("p2"), F.col("p98")))
-        .when(F.col("enough"), clip(value / ceiling, 0.0, 1.0))
-        .otherwise(clip(value, 0.0, 1.0)))
-    return _with_percentiles(pixels, bands, nodata).select(
-        "tile_id", "y", "x", "band", "value", stretched.alias("stretched"))
+
+    def rule(value: Column, stats: Column, enough: Column, spread: Column) -> Column:
+        ceiling = F.coalesce(F.nullif(stats["top"], F.lit(0.0)), F.lit(1.0))
+        return (
+            F.when(enough & spread, raster.stretch(value, stats["p2"], stats["p98"]))
+            .when(enough, clip(value / ceiling, 0.0, 1.0))
+            .otherwise(clip(value, 0.0, 1.0)))
+
+    placed = pixels.join(band_percentiles(pixels, bands, nodata), "tile_id", "left")
+    return placed.select("tile_id", "y", "x", *[
+        c.alias(band) for band, c in _stretched(pixels, bands, nodata, rule).items()])
 
 
 def rgb8(pixels: DataFrame, roles: list[str], nodata: float | None = None) -> DataFrame:
     """Display bytes r, g, b per pixel; ``roles`` names the red, green, blue band."""
-    value = F.col("value")
-    byte = (
-        F.when(F.col("is_nodata"), 0.0)
-        .when(F.col("enough") & F.col("spread"),
-              clip((value - F.col("p2")) / (F.col("p98") - F.col("p2")) * 255.0, 0.0, 255.0))
-        .otherwise(clip(value, 0.0, 255.0)))
-    long = _with_percentiles(pixels, list(dict.fromkeys(roles)), nodata).withColumn(
-        "byte", F.floor(byte).cast("int"))
-    channel = lambda i: F.max(F.when(F.col("band") == roles[i], F.col("byte")))
-    return long.groupBy("tile_id", "y", "x").agg(
-        channel(0).alias("r"), channel(1).alias("g"), channel(2).alias("b"))
+    bands = list(dict.fromkeys(roles))
+
+    def rule(value: Column, stats: Column, enough: Column, spread: Column) -> Column:
+        scaled = (value - stats["p2"]) / (stats["p98"] - stats["p2"]) * 255.0
+        return F.when(enough & spread, clip(scaled, 0.0, 255.0)).otherwise(clip(value, 0.0, 255.0))
+
+    placed = pixels.join(band_percentiles(pixels, bands, nodata), "tile_id", "left")
+    shown = _stretched(pixels, bands, nodata, rule)
+    return placed.select("tile_id", "y", "x", *[
+        F.floor(shown[role]).cast("int").alias(name) for role, name in zip(roles, ("r", "g", "b"))])
 
 
 def thumbnail_stretch(pixels: DataFrame, nodata: float | None = None) -> DataFrame:

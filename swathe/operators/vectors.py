@@ -33,8 +33,10 @@ def topk(vectors: DataFrame, query: Column, k: int, predicate: Column | None = N
     The filter reaches the scan, and ORDER BY + LIMIT keeps k rows per task.
     """
     rows = vectors if predicate is None else vectors.where(predicate)
-    return rows.withColumn("score", similarity(F.col("vector"), query)).orderBy(
-        F.desc("score"), "tile_id").limit(k)
+    # The query becomes a column first: a subquery may not stand inside a lambda.
+    scored = rows.withColumn("_query", query).withColumn(
+        "score", similarity(F.col("vector"), F.col("_query"))).drop("_query")
+    return scored.orderBy(F.desc("score"), "tile_id").limit(k)
 
 
 FILTER_COLUMNS = ["sensors", "min_quality", "max_cloud", "start_day", "end_day",
@@ -194,9 +196,9 @@ def hashed_text_vector(text: Column, dim: int = 64) -> Column:
     """Deterministic unit vector of a text: word counts in ``dim`` hashed buckets."""
     bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim
     buckets = F.transform(tokens_of(F.lower(text)), bucket)
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"))
+    places = F.sequence(F.lit(0), F.lit(dim - 1))
+    counts = vx.let(buckets, lambda found: F.transform(
+        places, lambda d: F.size(F.filter(found, lambda b: b == d)).cast("double")))
     return vx.l2_normalize(counts)
 
 
