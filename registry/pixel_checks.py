@@ -239,9 +239,10 @@ def _(t):
 
 
 @query("TIL-16_laplacian_sharpness", "pixels", "with s as (select * from pixels)," + LAPLACE.format(v="g", src="s", k="tile_id") + """
-select tile_id, cast(sum(l) as bigint) as total, cast(sum(l * l) as bigint) as squares, least(1.0, var_pop(l) / 1000) as sharpness from lap group by 1""")
+select tile_id, cast(sum(l) as bigint) as total, cast(sum(l * l) as bigint) as squares, round(least(1.0, var_pop(l) / 1000), 8) as sharpness from lap group by 1""")
 def _(t):
-    sharp = tiling.laplacian_sharpness(t.pixels, "g")
+    sharp = tiling.laplacian_sharpness(t.pixels, "g").select(
+        "tile_id", F.round("sharpness", 8).alias("sharpness"))
     sums = tiling.laplacian(t.pixels, "g").groupBy("tile_id").agg(
         F.sum("laplacian").alias("total"), F.sum(F.col("laplacian") * F.col("laplacian")).alias("squares"))
     return sums.join(sharp, "tile_id")

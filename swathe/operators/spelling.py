@@ -76,8 +76,11 @@ def damerau_levenshtein_join(
     """
     if max_distance not in (1, 2):
         raise ValueError("max_distance must be 1 or 2")
-    left = tokens.select("token").distinct().withColumn(
-        "key", F.explode(deletion_keys(F.col("token"))))
+    # A longer word than this matches nothing; without the bound its keys would be many.
+    longest = vocabulary.agg(F.max(F.length("candidate"))).scalar()
+    left = tokens.select("token").distinct().where(
+        F.length("token") <= longest + max_distance
+    ).withColumn("key", F.explode(deletion_keys(F.col("token"))))
     right = vocabulary.select(
         "candidate", "weight", F.explode(deletion_keys(F.col("candidate"))).alias("key"))
     size_gap = F.abs(F.length("token") - F.length("candidate")) <= max_distance

@@ -144,7 +144,8 @@ def band_percentiles(pixels: DataFrame, bands: list[str], nodata: float | None =
     """
     values = F.array(*[
         F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("value")) for b in bands])
-    valid = pixels.where(~nodata_mask(bands, nodata)).select("tile_id", F.inline(values)).where(
+    kept = F.when(~nodata_mask(bands, nodata), values)
+    valid = pixels.select("tile_id", F.inline(kept)).where(
         ~F.isnan("value") & (F.abs(F.col("value")) < float("inf")))
     counted = valid.groupBy("tile_id", "band", "value").agg(F.count("*").alias("n"))
     ends = F.array(F.lit(0.02), F.lit(0.98))
