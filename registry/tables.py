@@ -7,8 +7,12 @@ spell something differently are named in ``DIALECT``.
 from __future__ import annotations
 
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
+from swathe.session import shared_dir, shuffle_width
+
 SOURCES = ["orders", "lineitem", "events", "documents", "embeddings", "part", "customer",
            "conversations", "pages", "supplier"]
 
@@ -216,6 +220,11 @@ def duckdb_with(*names: str) -> str:
     return "with " + ",\n".join(parts) + "\n" if parts else ""
 
 
+# Pixel tables are stored once per session, as pixels are in use: operators then scan a table.
+STORED = ["pixels", "images"]
+_stored: dict[tuple[str, str, str], str] = {}
+
+
 class Tables:
     """The source and derived tables of one data folder as DataFrames."""
 
@@ -226,12 +235,24 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name in STORED:
+            return self._table(name)
         if name in FIXTURES:
             return self.spark.sql(self._sql(name))
         if name in SOURCES:
             return self.source(name)
         raise AttributeError(name)
 
+    def _table(self, name: str) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _stored:
+            place = hashlib.sha256("|".join(key).encode()).hexdigest()[:16]
+            path = f"{shared_dir(self.spark)}/{name}-{place}"
+            built = self.spark.sql(self._sql(name))
+            built.repartition(shuffle_width(self.spark), "tile_id").write.mode("overwrite").parquet(path)
+            _stored[key] = path
+        return self.spark.read.parquet(_stored[key])
+
     def _sql(self, name: str) -> str:
         files = {s: f"parquet.`{self.folder}/{s}.parquet`" for s in SOURCES}
         parents = {p: f"({self._sql(p)})" for p in FIXTURES[name][0]}

@@ -94,25 +94,39 @@ DOC_TOKENS = f"""tok as (select distinct token from (select lower(regexp_replace
  from (select unnest(string_split({squeeze('text')}, ' ')) as w from documents) a) b where token <> '')"""
 
 
+# DuckDB measures bytes; no candidate has a non-ASCII letter, so any one ASCII sign may stand for it.
+ASCII = "regexp_replace(token, '[^\\x00-\\x7f]', '#', 'g')"
+
+
 def doc_tokens(t):
     words = t.documents.select(F.explode(tx.tokens_of(F.col("text"))).alias("w"))
     return words.select(F.lower(spelling.core_word(F.col("w"))).alias("token")).where("token <> ''")
 
 
-@query("QRY-06_damerau_levenshtein_join", "", f"with {VOCAB}, {DOC_TOKENS}" + """
-select token, candidate, distance from (select token, candidate, cast(damerau_levenshtein(token, candidate) as int) as distance
+@query("QRY-06_damerau_levenshtein_join", "", f"with {VOCAB}, {DOC_TOKENS}" + f"""
+select token, candidate, distance from (select token, candidate, cast(damerau_levenshtein({ASCII}, candidate) as int) as distance
  from tok join vocab on abs(length(token) - length(candidate)) <= 2) x where distance <= 2""")
 def _(t):
     pairs = spelling.damerau_levenshtein_join(doc_tokens(t), spelling.vocabulary_frame(t.spark))
     return pairs.select("token", "candidate", "distance")
 
 
+@query("QRY-06_damerau_levenshtein_keys", "query_log", rf"""with {VOCAB}, ltok as (select distinct lower(w) as token from (select unnest(string_split({squeeze('raw_query')}, ' ')) as w from query_log) a where w <> '')
+select token, candidate, distance from (select token, candidate, cast(damerau_levenshtein(token, candidate) as int) as distance from ltok join vocab on abs(length(token) - length(candidate)) <= 2) x where distance <= 2""")
+def _(t):
+    """The path for large vocabularies."""
+    words = t.query_log.select(F.explode(tx.tokens_of(F.lower("raw_query"))).alias("token"))
+    pairs = spelling.damerau_levenshtein_join(
+        words, spelling.vocabulary_frame(t.spark), small_vocabulary=0)
+    return pairs.select("token", "candidate", "distance")
+
+
 def corrections_sql(tokens: str) -> str:
     confusable = " ".join(f"when {q(k)} then {q(v)}" for k, v in lx.CONFUSABLES.items())
     keys = ", ".join(q(k) for k in lx.CONFUSABLES)
     return f"""
 fuzzy as (select token, candidate, d, row_number() over (partition by token order by (1.0::double - d / greatest(length(token), length(candidate)) + case when same then 0.1::double else 0.0 end) * w desc, candidate) as rn, same from (
-  select token, c.candidate, damerau_levenshtein(token, c.candidate) as d, left(token, 1) = left(c.candidate, 1) as same, {WEIGHT} as w
+  select token, c.candidate, damerau_levenshtein({ASCII}, c.candidate) as d, left(token, 1) = left(c.candidate, 1) as same, {WEIGHT} as w
   from {tokens} join vocab c on abs(length(token) - length(c.candidate)) <= 2
   where length(token) >= 4 and token not in (select candidate from vocab) and token not in ({keys}) and not regexp_full_match(token, '[\\d.\\-]+')) x
  where d <= case when length(token) >= 5 then 2 else 1 end and (d < 2 or same)),

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from swathe import lexicon as lx
 from swathe.functions import text as tx
+from swathe.functions.vectors import let
+from swathe.session import shuffle_width
 
 
 def vocabulary_frame(spark: SparkSession, words: list[str] | None = None) -> DataFrame:
@@ -61,30 +63,64 @@ def deletion_keys(word: Column) -> Column:
     by dropping at most one character on each side.
     """
     once = F.array_distinct(_drop_one(F.array(word)))
-    twice = F.array_distinct(_drop_one(once))
-    return F.array_distinct(F.concat(F.array(word), once, twice))
+    return let(once, lambda one: F.array_distinct(F.concat(F.array(word), one, _drop_one(one))))
+
+
+def letter_mask(word: Column) -> Column:
+    """A bit per character class of the word; one edit changes at most two bits."""
+    return F.aggregate(
+        F.split(word, ""), F.lit(0).cast("long"),
+        lambda mask, c: mask.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 63)))
+
+
+# Up to this many words, meeting every word of a near length costs less than making keys.
+SMALL_VOCABULARY = 5000
+
+
+def _pairs_by_length(tokens: DataFrame, vocabulary: DataFrame, max_distance: int) -> DataFrame:
+    """Pairs of near length whose letters differ by few; for vocabularies of checked small size."""
+    lengths = F.sequence(F.length("token") - max_distance, F.length("token") + max_distance)
+    left = tokens.withColumn("mask", letter_mask(F.col("token"))).withColumn("size", F.explode(lengths))
+    right = vocabulary.withColumns({
+        "size": F.length("candidate"), "candidate_mask": letter_mask(F.col("candidate"))})
+    differing = F.bit_count(F.col("mask").bitwiseXOR(F.col("candidate_mask")))
+    return left.join(F.broadcast(right), "size").where(
+        (differing <= 2 * max_distance)
+        & (F.levenshtein("token", "candidate", 2 * max_distance) >= 0)
+    ).select("token", "candidate", "weight")
+
+
+def _pairs_by_deletions(tokens: DataFrame, vocabulary: DataFrame, max_distance: int) -> DataFrame:
+    """Pairs that share a deletion key; for vocabularies of any size."""
+    # The keys are never empty, and explode_outer keeps Spark from testing that.
+    left = tokens.withColumn("key", F.explode_outer(deletion_keys(F.col("token"))))
+    right = vocabulary.select(
+        "candidate", "weight", F.explode_outer(deletion_keys(F.col("candidate"))).alias("key"))
+    size_gap = F.abs(F.length("token") - F.length("candidate")) <= max_distance
+    return left.join(right, "key").where(size_gap).select("token", "candidate", "weight").distinct()
 
 
 def damerau_levenshtein_join(
-    tokens: DataFrame, vocabulary: DataFrame, max_distance: int = 2
+    tokens: DataFrame, vocabulary: DataFrame, max_distance: int = 2,
+    small_vocabulary: int = SMALL_VOCABULARY,
 ) -> DataFrame:
     """(token, candidate, weight, distance) for all pairs within ``max_distance`` (1 or 2).
 
-    An equi-join on deletion keys finds the candidates; the distance is computed
-    on the distinct survivors only. The dictionary side is broadcast by Spark
-    when its measured size allows.
+    Equality joins find the candidates, on length for a vocabulary of measured
+    small size and on deletion keys beyond it; the exact distance is computed on
+    the survivors only.
     """
     if max_distance not in (1, 2):
         raise ValueError("max_distance must be 1 or 2")
-    # A longer word than this matches nothing; without the bound its keys would be many.
-    longest = vocabulary.agg(F.max(F.length("candidate"))).scalar()
-    left = tokens.select("token").distinct().where(
-        F.length("token") <= longest + max_distance
-    ).withColumn("key", F.explode(deletion_keys(F.col("token"))))
-    right = vocabulary.select(
-        "candidate", "weight", F.explode(deletion_keys(F.col("candidate"))).alias("key"))
-    size_gap = F.abs(F.length("token") - F.length("candidate")) <= max_distance
-    pairs = left.join(right, "key").where(size_gap).select("token", "candidate", "weight").distinct()
+    size, longest = vocabulary.agg(F.count("*"), F.max(F.length("candidate"))).first()
+    # A longer token matches nothing. The distinct words are few bytes but much
+    # work each, so they are spread over all cores.
+    distinct = tokens.select("token").distinct().where(
+        F.length("token") <= (longest or 0) + max_distance
+    ).repartition(shuffle_width(tokens.sparkSession), "token")
+    find = _pairs_by_length if size <= small_vocabulary else _pairs_by_deletions
+    pairs = find(distinct, vocabulary, max_distance)
     return pairs.withColumn(
         "distance", edit_distance_upto2(F.col("token"), F.col("candidate"))
     ).where(F.col("distance") <= max_distance)

@@ -43,22 +43,29 @@ FILTER_COLUMNS = ["sensors", "min_quality", "max_cloud", "start_day", "end_day",
                   "west", "south", "east", "north", "scene", "not_tile"]
 
 
-def _allowed(rows: pd.DataFrame, query: pd.Series) -> np.ndarray:
-    """Rows of a batch that pass one query's own filters. A missing value never passes a range."""
-    ok = np.ones(len(rows), dtype=bool)
-    if query.sensors is not None and len(query.sensors):
-        ok &= rows["sensor"].isin(list(query.sensors)).to_numpy()
-    for bound, column, compare in (
-        ("min_quality", "quality_score", np.greater_equal),
-        ("max_cloud", "cloud_cover_pct", np.less_equal),
-        ("start_day", "acq_day", np.greater_equal), ("end_day", "acq_day", np.less_equal),
-        ("west", "center_lon", np.greater_equal), ("east", "center_lon", np.less_equal),
-        ("south", "center_lat", np.greater_equal), ("north", "center_lat", np.less_equal),
-        ("scene", "scene_id", np.equal), ("not_tile", "tile_id", np.not_equal),
-    ):
-        limit = query[bound]
-        if not pd.isna(limit):
-            ok &= compare(rows[column].to_numpy(dtype="float64"), float(limit))
+# Which payload column each bound of a query limits, and how.
+_BOUNDS = [
+    ("min_quality", "quality_score", np.greater_equal), ("max_cloud", "cloud_cover_pct", np.less_equal),
+    ("start_day", "acq_day", np.greater_equal), ("end_day", "acq_day", np.less_equal),
+    ("west", "center_lon", np.greater_equal), ("east", "center_lon", np.less_equal),
+    ("south", "center_lat", np.greater_equal), ("north", "center_lat", np.less_equal),
+    ("scene", "scene_id", np.equal), ("not_tile", "tile_id", np.not_equal),
+]
+
+
+def _allowed(rows: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
+    """(queries x rows): which rows pass each query's filters. A missing value passes no range."""
+    ok = np.ones((len(queries), len(rows)), dtype=bool)
+    for bound, column, compare in _BOUNDS:
+        limits = queries[bound].to_numpy(dtype="float64", na_value=np.nan)
+        asked = np.flatnonzero(~np.isnan(limits))
+        if len(asked):
+            values = rows[column].to_numpy(dtype="float64", na_value=np.nan)
+            ok[asked] &= compare(values[None, :], limits[asked, None])
+    codes, names = pd.factorize(rows["sensor"])
+    for i, wanted in enumerate(queries["sensors"]):
+        if wanted is not None and len(wanted):
+            ok[i] &= np.append(np.isin(names, list(wanted)), False)[codes]
     return ok
 
 
@@ -73,25 +80,28 @@ def _best(scored: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def _score_batch(rows: pd.DataFrame, queries: pd.DataFrame, k: int, filtered: bool) -> pd.DataFrame:
-    """The k best rows of one batch for each query."""
+    """At least the k best rows of one batch for each query (more where scores tie)."""
     vectors = _unit(np.stack(rows["vector"].to_numpy()).astype("float64"))
-    asked = _unit(np.stack(queries["query_vector"].to_numpy()).astype("float64"))
-    scores = np.round(asked @ vectors.T, 12)
     ids = rows["tile_id"].to_numpy()
-    found = []
-    for i in range(len(queries)):
-        keep = np.arange(len(rows))
+    who, what, how = [], [], []
+    for start in range(0, len(queries), 512):
+        part = queries.iloc[start:start + 512]
+        asked = _unit(np.stack(part["query_vector"].to_numpy()).astype("float64"))
+        # Rounded, so that copies of a vector tie wherever they stand.
+        scores = np.round(asked @ vectors.T, 12)
         if filtered:
-            keep = np.flatnonzero(_allowed(rows, queries.iloc[i]))
-        line = scores[i, keep]
-        if len(line) > k:
-            # Everything tied with the k-th best stays, so that ids break ties.
-            border = np.partition(line, len(line) - k)[len(line) - k]
-            near = line >= border
-            keep, line = keep[near], line[near]
-        found.append(pd.DataFrame({
-            "query_id": queries["query_id"].iloc[i], "tile_id": ids[keep], "score": line}))
-    return _best(pd.concat(found), k)
+            scores[~_allowed(rows, part)] = -np.inf
+        if len(ids) > k:
+            border = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+            keep = (scores >= border[:, None]) & (scores > -np.inf)
+        else:
+            keep = scores > -np.inf
+        q, r = np.nonzero(keep)
+        who.append(part["query_id"].to_numpy()[q])
+        what.append(ids[r])
+        how.append(scores[q, r])
+    return pd.DataFrame({"query_id": np.concatenate(who), "tile_id": np.concatenate(what),
+                         "score": np.concatenate(how)})
 
 
 def topk_batch(
@@ -123,9 +133,11 @@ def topk_batch(
             for batch in batches:
                 if len(batch) and len(shared.value):
                     fresh = _score_batch(batch, shared.value, k, filtered)
-                    best = fresh if best is None else _best(pd.concat([best, fresh]), k)
+                    best = fresh if best is None else pd.concat([best, fresh])
+                    if len(best) > 4 * k * len(shared.value):
+                        best = _best(best, k)
             if best is not None:
-                yield best
+                yield _best(best, k)
 
         local = rows.mapInPandas(scan, schema)
     else:
@@ -141,7 +153,7 @@ def topk_batch(
         def meet(part: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
             if not len(part) or not len(wanted):
                 return pd.DataFrame({"query_id": [], "tile_id": [], "score": []})
-            return _score_batch(part, wanted, k, filtered)
+            return _best(_score_batch(part, wanted, k, filtered), k)
 
         local = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(
             meet, schema)

@@ -11,6 +11,7 @@ from swathe.functions import geometry
 from swathe.functions import text as tx
 from swathe.operators import queries, rerank, vectors
 from swathe.operators.landcover import landcover_or_default
+from swathe.session import cut_lineage
 from swathe.sources.catalog import latest_provenance
 
 FOOTPRINT = tuple(f"bbox_{s}" for s in ("west", "south", "east", "north"))
@@ -87,6 +88,8 @@ def semantic_search(
         asked = asked.withColumns({
             "west": F.lit(float(min(xs))), "east": F.lit(float(max(xs))),
             "south": F.lit(float(min(ys))), "north": F.lit(float(max(ys)))})
+    # Parsed once: the scan, the footprint test and the rerank all read it.
+    asked = cut_lineage(asked)
     index = searchable(vector_table, tiles, collection)
     fetch = vectors.semantic_fetch_limit(top_k)
     hits = vectors.topk_batch(index, asked, fetch, filtered=True).drop("rank")
