@@ -76,17 +76,18 @@ def register_shift(pair_pixels: DataFrame, max_shift: int = 2) -> DataFrame:
     ahead = lambda c, n, w: F.lead(c, n).over(w) if n >= 0 else F.lag(c, -n).over(w)
     rows = gray.withColumn("line", F.array(*[ahead("b", dx, along_x) for dx in steps]))
     rows = rows.withColumns({f"line{i}": ahead("line", dy, along_y) for i, dy in enumerate(steps)})
-    trials = []
-    for i, dy in enumerate(steps):
-        for j, dx in enumerate(steps):
-            trials.append(F.struct(
-                F.coalesce(F.corr(F.col("a").cast("double"), F.col(f"line{i}")[j].cast("double")),
-                           F.lit(0.0)).alias("corr"),
-                F.lit(-(abs(dx) + abs(dy))).alias("nearness"),
-                F.lit(dx).alias("dx"), F.lit(dy).alias("dy")))
-    best = rows.groupBy("pair_id").agg(
-        F.array_max(F.array(*trials)).alias("best"),
+    trials = F.array(*[
+        F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.col(f"line{i}")[j].cast("double").alias("b"))
+        for i, dy in enumerate(steps) for j, dx in enumerate(steps)])
+    # Grouping by pair and shift keeps the clustering by pair: no further shuffle.
+    tried = rows.select("pair_id", "y", "x", F.col("a").cast("double").alias("a"), F.inline(trials)).groupBy(
+        "pair_id", "dx", "dy").agg(
+        F.coalesce(F.corr("a", "b"), F.lit(0.0)).alias("corr"),
         (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
+    nearness = -(F.abs("dx") + F.abs("dy"))
+    best = tried.groupBy("pair_id").agg(
+        F.max(F.struct("corr", nearness.alias("nearness"), "dx", "dy")).alias("best"),
+        F.max("w").alias("w"), F.max("h").alias("h"))
     tiny = (F.col("w") < 32) | (F.col("h") < 32)
     return best.select(
         "pair_id",

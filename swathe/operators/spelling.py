@@ -118,7 +118,7 @@ def damerau_levenshtein_join(
     # work each, so they are spread over all cores.
     distinct = tokens.select("token").distinct().where(
         F.length("token") <= (longest or 0) + max_distance
-    ).repartition(shuffle_width(tokens.sparkSession), "token")
+    ).repartition(shuffle_width(tokens.sparkSession))
     find = _pairs_by_length if size <= small_vocabulary else _pairs_by_deletions
     pairs = find(distinct, vocabulary, max_distance)
     return pairs.withColumn(
