@@ -19,12 +19,6 @@ def _(t):
     return t.file_listing.where(files.is_scene_file(F.col("path"), F.col("length"))).select("path", "length")
 
 
-@query("SRC-01_scan_folder")
-def _(t):
-    """The scan itself, over the data folder: no raster lies there, so only its plan is of interest."""
-    return files.scan_scene_files(t.spark, t.folder).select("path", "length")
-
-
 @query("SRC-02_file_checksums", "", "select doc_id, sha256(text) as checksum from documents")
 def _(t):
     f = t.documents.select("doc_id", F.encode("text", "UTF-8").alias("content"))
@@ -63,7 +57,7 @@ def _(t):
 
 
 @query("SRC-06_resolution_metres", "rasters", """
-select scene_id, case when scene_id % 3 = 0 then res_x * 1000 when scene_id % 3 = 1 then round(res_x * 111000, 8) end as metres from rasters""")
+select scene_id, case when scene_id % 3 = 0 then round(res_x * 1000, 8) when scene_id % 3 = 1 then round(res_x * 111000, 8) end as metres from rasters""")
 def _(t):
     k = F.col("scene_id") % 3
     res = F.when(k == 0, F.col("res_x") * 1000).otherwise(F.col("res_x"))

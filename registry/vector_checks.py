@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registry.base import query
+from registry.filter_checks import EDGES, POLYGON, SIDES
 from swathe.functions import vectors as vx
 from swathe.functions.numbers import round_even
 from swathe.operators import vectors
@@ -203,10 +204,11 @@ def _(t):
     return hits.select("tile_id", "filename", "score", F.col("rank").cast("long").alias("rank"))
 
 
-POLYGON = [(70.01, 10.0), (71.4, 10.02), (71.2, 10.2), (70.6, 10.08), (70.3, 10.31), (69.9, 10.2)]
-
-
-@query("VEC-12_search_by_vector")
+@query("VEC-12_search_by_vector", "tiles scenes vectors", f"""with {EDGES} {SIDES},
+inside as (select tile_id from sides group by 1 having bool_or(x0 <= e and x1 >= w and y0 <= n and y1 >= s and lo <= 0 and hi >= 0) or count(*) filter (corner_hit) % 2 = 1),
+near as (select v.tile_id, t.scene_id, {cos_sql('v.vector', 'q.e')} as s from vectors v join tiles t using (tile_id), (select embedding[1:32] as e from embeddings where vec_id = 11) q
+ where v.collection = 'visual' and t.center_lon between 69.95 and 71.35 and t.center_lat between 9.99 and 10.32 order by s desc, v.tile_id limit 30)
+select tile_id, filename, round_even(s, 4)::double as score, row_number() over (order by s desc, tile_id) as rank from near join inside using (tile_id) join scenes using (scene_id) order by s desc, tile_id limit 8""")
 def _(t):
     probe = t.embeddings.where("vec_id = 11").select(F.slice("embedding", 1, 32)).scalar()
     hits = search.search_by_vector(t.vectors, t.tiles, t.scenes, probe, 8, polygon=POLYGON)
