@@ -217,7 +217,7 @@ def _(t):
 
 @query("VEC-13_semantic_distance", "vectors", f"""
 with p as (select vec_id as before_tile, vec_id + 25 as after_tile from embeddings)
-select before_tile, after_tile, round(coalesce(least(1.0, greatest(0.1, 50 * greatest(0.0, 1.0 - {cos_sql('a.vector', 'b.vector', ' + 1e-7')}))), 0.5), 6) as distance
+select before_tile, after_tile, round(case when a.vector is null or b.vector is null then 0.5 else least(1.0, greatest(0.1, 50 * (1.0 - {cos_sql('a.vector', 'b.vector', ' + 1e-7')}))) end, 6) as distance
 from p left join (select * from vectors where collection = 'semantic') a on a.tile_id = before_tile
 left join (select * from vectors where collection = 'semantic') b on b.tile_id = after_tile""")
 def _(t):

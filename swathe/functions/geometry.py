@@ -31,10 +31,12 @@ def boxes_touch(a, b) -> Column:
 
 
 def boxes_overlap(a, b) -> Column:
-    """Open overlap: the shared area must be positive."""
+    """Open overlap: the shared area must be positive. NULL when a side is NULL."""
     aw, as_, ae, an = (as_col(v) for v in a)
     bw, bs, be, bn = (as_col(v) for v in b)
-    return (F.least(ae, be) > F.greatest(aw, bw)) & (F.least(an, bn) > F.greatest(as_, bs))
+    across = (aw < be) & (bw < ae) & (aw < ae) & (bw < be)
+    upward = (as_ < bn) & (bs < an) & (as_ < an) & (bs < bn)
+    return across & upward
 
 
 def box_iou(a, b) -> Column:

@@ -46,7 +46,9 @@ def scene_pairs(tiles: DataFrame, salts: int = 16) -> DataFrame:
     is taken to overlap every other scene.
     """
     scenes = scene_envelopes(tiles)
-    boxed = scenes.where(F.col("west").isNotNull())
+    whole = F.col("west").isNotNull() & F.col("south").isNotNull() & F.col("east").isNotNull() & F.col("north").isNotNull()
+    scenes = scenes.withColumn("open", ~whole)
+    boxed = scenes.where(~F.col("open"))
     # Most envelopes fit one cell of this size; a larger one covers several.
     extent = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
     cell = boxed.agg(F.percentile_approx(extent, 0.9)).first()[0] or 1.0
@@ -72,8 +74,8 @@ def scene_pairs(tiles: DataFrame, salts: int = 16) -> DataFrame:
 
     # Scenes without a box: every partner is part of the result, so salting alone spreads it.
     slim = lambda df, name: df.select("salt", *[
-        F.col(c).alias(f"{name}_{c}") for c in ("scene_id", "date")], F.col("west").isNull().alias(f"{name}_open"))
-    open_side = slim(scenes.where(F.col("west").isNull()).withColumn("salt", all_salts), "a")
+        F.col(c).alias(f"{name}_{c}") for c in ("scene_id", "date")], F.col("open").alias(f"{name}_open"))
+    open_side = slim(scenes.where("open").withColumn("salt", all_salts), "a")
     other = slim(scenes.withColumn("salt", salt), "b")
     loose = open_side.join(other, "salt").where(
         (F.col("a_scene_id") != F.col("b_scene_id"))

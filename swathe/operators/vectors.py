@@ -291,7 +291,7 @@ def pair_vectors(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def semantic_distance(before: Column, after: Column) -> Column:
     """50 times the cosine distance within .1..1; .5 when a vector is missing."""
-    gap = F.greatest(F.lit(0.0), F.lit(1.0) - vx.cosine(before, after))
+    gap = F.lit(1.0) - vx.cosine(before, after)
     return F.coalesce(clip(gap * 50.0, 0.1, 1.0), F.lit(0.5))
 
 

@@ -28,7 +28,7 @@ def test_pairing_uses_equality_joins(spark):
 def test_topk_keeps_heaps_and_pushes_filters(spark, tmp_path):
     path = str(tmp_path / "vectors")
     t = Tables(spark, FOLDER)
-    t.vectors.join(t.tiles, "tile_id").write.parquet(path)
+    t.vectors.drop("embedded_at").join(t.tiles, "tile_id").write.parquet(path)
     stored = spark.read.parquet(path)
     keep = vectors.payload_filter(min_quality=0.4, sensors=["Landsat-9"])
     text = plan(vectors.topk(stored, vectors.vector_of(stored, 7), 5, keep).select("tile_id", "score"))
