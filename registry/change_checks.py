@@ -46,6 +46,13 @@ def _(t):
         "pair_id", F.round("visual_score", 6).alias("visual_score"), F.round("plain_score", 6).alias("plain_score"))
 
 
+@query("CHG-03_line_stats", "images", f"with {DIFF}" + """
+select pair_id, count(*) as total_pixels, count(*) filter (changed) as changed_pixels, round(least(1.0, greatest(0.05, sqrt(avg((dr * dr + dg * dg + db * db) / 3.0::double)) / 28)), 6) as visual_score from m group by 1""")
+def _(t):
+    return change.line_stats(change.diff_lines(diff(t))).select(
+        "pair_id", "total_pixels", "changed_pixels", F.round("visual_score", 6).alias("visual_score"))
+
+
 SHIFTS = [(dx, dy) for dy in (-2, -1, 0, 1, 2) for dx in (-2, -1, 0, 1, 2)]
 
 

@@ -220,8 +220,9 @@ def duckdb_with(*names: str) -> str:
     return "with " + ",\n".join(parts) + "\n" if parts else ""
 
 
-# Pixel tables are stored once per session, as pixels are in use: operators then scan a table.
-STORED = ["pixels", "images"]
+# Pixel tables and the query log are stored once per session, in several files each, as
+# they are in use: operators then scan a table. The value is the column to spread by.
+STORED = {"pixels": "tile_id", "images": "tile_id", "query_log": "query_id", "pair_facts": "pair_id"}
 _stored: dict[tuple[str, str, str], str] = {}
 
 
@@ -249,7 +250,7 @@ class Tables:
             place = hashlib.sha256("|".join(key).encode()).hexdigest()[:16]
             path = f"{shared_dir(self.spark)}/{name}-{place}"
             built = self.spark.sql(self._sql(name))
-            built.repartition(shuffle_width(self.spark), "tile_id").write.mode("overwrite").parquet(path)
+            built.repartition(shuffle_width(self.spark), STORED[name]).write.mode("overwrite").parquet(path)
             _stored[key] = path
         return self.spark.read.parquet(_stored[key])
 

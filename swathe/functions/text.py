@@ -95,7 +95,10 @@ def place_rules(places=lx.PLACES, fallback=lx.FALLBACK_BOXES) -> list[dict]:
     rules = []
     for name, aliases, kind, box in sorted(places, key=lambda p: -len(p[0])):
         rules.append({"name": name, "kind": kind, "box": box, "names": [name] + aliases})
+    known = {n.lower() for rule in rules for n in rule["names"]}
     for name, box in sorted(fallback.items(), key=lambda p: -len(p[0])):
+        if name in known:
+            continue  # the gazetteer answers first
         kind = "state" if name in lx.FALLBACK_STATES else "city"
         rules.append({"name": name.title(), "kind": kind, "box": box, "names": [name]})
     for rule in rules:

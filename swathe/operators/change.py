@@ -58,6 +58,29 @@ def pair_pixel_stats(diff: DataFrame) -> DataFrame:
         share(later_gray < 35).alias("shadow_score"))
 
 
+def diff_lines(diff: DataFrame) -> DataFrame:
+    """Differences reduced to one row per pair and image row, with the changed x positions.
+
+    Figures and shape of a change both follow from it, so the pixels of a pair
+    are joined once. A list is at most one tile wide.
+    """
+    later_gray = raster.gray8(F.col("r2"), F.col("g2"), F.col("b2"))
+    squares = F.col("dr") * F.col("dr") + F.col("dg") * F.col("dg") + F.col("db") * F.col("db")
+    return diff.groupBy("pair_id", "y").agg(
+        F.count("*").alias("n"), F.sum(squares.cast("double")).alias("squares"),
+        count_where(later_gray < 35).alias("dark"),
+        F.collect_list(F.when(F.col("changed"), F.col("x"))).alias("changed_x"))
+
+
+def line_stats(lines: DataFrame) -> DataFrame:
+    """The figures of ``pair_pixel_stats`` from ``diff_lines``."""
+    total = F.sum("n")
+    return lines.groupBy("pair_id").agg(
+        F.sum(F.size("changed_x").cast("long")).alias("changed_pixels"), total.alias("total_pixels"),
+        clip(F.sqrt(F.sum("squares") / (total * 3.0)) / 28.0, 0.05, 1.0).alias("visual_score"),
+        (F.sum("dark") / total).alias("shadow_score"))
+
+
 def register_shift(pair_pixels: DataFrame, max_shift: int = 2) -> DataFrame:
     """Whole-pixel shift of the later image that best correlates with the earlier one.
 

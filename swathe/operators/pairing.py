@@ -208,7 +208,8 @@ def candidate_pairs(tiles: DataFrame, pairs: DataFrame) -> DataFrame:
 
     The three rules are made exclusive, so their union needs no de-duplication.
     """
-    before, after = _sides(tiles, pairs)
+    # Scene pairs are few and read six times below.
+    before, after = _sides(tiles, cut_lineage(pairs.select(*_PAIR)))
     boxes = _has_box("before") & _has_box("after")
     by_iou = pairs_by_iou(before, after)
     by_centre = pairs_by_centre(before, after)

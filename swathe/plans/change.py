@@ -13,6 +13,7 @@ from swathe.functions import text as tx
 from swathe.operators import change, landcover, pairing, vectors
 from swathe.operators.listing import change_tiles
 from swathe.operators.queries import parse_queries
+from swathe.session import cut_lineage
 
 _TILE = ["tile_col", "tile_row", "center_lon", "center_lat", "sensor", "resolution_m",
          "quality_score", "cloud_cover_pct"]
@@ -31,11 +32,15 @@ def pair_attributes(pairs: DataFrame, tiles: DataFrame, scenes: DataFrame) -> Da
 def pair_evidence(pairs: DataFrame, pixels: DataFrame, vector_table: DataFrame,
                   max_shift: int = 2) -> DataFrame:
     """Registration, pixel change, shape of change, land cover and semantic distance of pairs."""
-    shift = change.register_shift(pairing.pair_pixels(pairs, pixels), max_shift)
+    # Small results that several branches read are written once to the checkpoint folder.
+    pairs = cut_lineage(pairs)
+    shift = cut_lineage(change.register_shift(pairing.pair_pixels(pairs, pixels), max_shift))
     placed = pairs.select("pair_id", "before_tile", "after_tile").join(shift, "pair_id")
     diff = change.pixel_diff(pairing.pair_pixels(placed, pixels))
-    stats = change.pair_pixel_stats(diff)
-    shape = change.spatial_consistency(diff.where("changed"), pairs)
+    lines = cut_lineage(change.diff_lines(diff))
+    stats = change.line_stats(lines)
+    mask = lines.select("pair_id", "y", F.explode("changed_x").alias("x"))
+    shape = change.spatial_consistency(mask, pairs)
     df = pairs.join(shift, "pair_id").join(stats, "pair_id").join(shape, "pair_id")
     df = df.withColumn("resolution_m", F.col("before_resolution_m"))
     df = change.landcover_delta(change.area_columns(df), landcover.landcover(pixels))

@@ -26,6 +26,7 @@ def test_pairing_uses_equality_joins(spark):
 
 
 def test_topk_keeps_heaps_and_pushes_filters(spark, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     path = str(tmp_path / "vectors")
     t = Tables(spark, FOLDER)
     t.vectors.drop("embedded_at").join(t.tiles, "tile_id").write.parquet(path)
