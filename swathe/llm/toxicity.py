@@ -49,48 +49,64 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     return {r["word"]: r["lift"] for r in top.collect()}
 
 
+def allowed_edits(term: str) -> int:
+    return 2 if len(term) >= TWO_EDITS else 1 if len(term) >= ONE_EDIT else 0
+
+
 class LexiconTrie:
     """Terms as a trie; ``closest`` runs the Levenshtein automaton of a word down its branches."""
 
     def __init__(self, weights: dict[str, float]):
         self.weights, self.root, self.cache = weights, {}, {}
+        # Word length -> stretches of which a near word keeps one: k edits leave one of k + 1 whole.
+        self.heads, self.tails, self.inner = {}, {}, {}
         for term in weights:
             node = self.root
             for letter in term:
                 node = node.setdefault(letter, {})
             node[""] = term
+            edits = allowed_edits(term)
+            cuts = [len(term) * i // (edits + 1) for i in range(edits + 2)]
+            for size in range(len(term) - edits, len(term) + edits + 1) if edits else ():
+                self.heads.setdefault(size, set()).add(term[:cuts[1]])
+                self.tails.setdefault(size, set()).add(term[cuts[-2]:])
+                self.inner.setdefault(size, set()).update(
+                    term[a:b] for a, b in zip(cuts[1:-2], cuts[2:-1], strict=True))
+
+    def may_be_near(self, word: str) -> bool:
+        size = len(word)
+        return size in self.heads and (
+            word.startswith(tuple(self.heads[size])) or word.endswith(tuple(self.tails[size]))
+            or any(piece in word for piece in self.inner[size]))
 
     def closest(self, word: str) -> tuple[str, int] | None:
         """(term, edits) with the fewest edits, ties to the first term; None if none is near."""
         if word in self.weights:
             return word, 0
-        if len(word) < ONE_EDIT:
+        if len(word) < ONE_EDIT - 1:
             return None
         if word not in self.cache:
             if len(self.cache) > 1 << 17:
                 self.cache.clear()
-            self.cache[word] = self._walk(word, 2 if len(word) >= TWO_EDITS else 1)
+            self.cache[word] = self._walk(word, 2) if self.may_be_near(word) else None
         return self.cache[word]
 
     def _walk(self, word: str, most: int) -> tuple[str, int] | None:
         best: tuple[int, str] | None = None
-        stack = [(self.root, "", list(range(len(word) + 1)), None)]
+        stack = [(self.root, list(range(len(word) + 1)))]
         while stack:
-            node, last, row, above = stack.pop()
+            node, row = stack.pop()
             for letter, child in node.items():
                 if letter == "":
-                    allowed = 2 if len(child) >= TWO_EDITS else 1 if len(child) >= ONE_EDIT else 0
-                    if row[-1] <= min(most, allowed) and (best is None or (row[-1], child) < best):
+                    if row[-1] <= min(most, allowed_edits(child)) and (best is None or (row[-1], child) < best):
                         best = row[-1], child
                     continue
                 state = [row[0] + 1]
                 for i, c in enumerate(word, 1):
                     cost = min(row[i] + 1, state[-1] + 1, row[i - 1] + (c != letter))
-                    if above is not None and i > 1 and c == last and word[i - 2] == letter:
-                        cost = min(cost, above[i - 2] + 1)
                     state.append(cost)
                 if min(state) <= most:
-                    stack.append((child, letter, state, row))
+                    stack.append((child, state))
         return (best[1], best[0]) if best else None
 
     def evidence(self, text: str) -> float:
