@@ -26,6 +26,7 @@ FIT_PER_CLASS = 4000      # labelled texts per class that the fit takes, the sma
 TERMS = 500               # lexicon size bound
 MIN_DOCS = 3
 MIN_LIFT = math.log(20)
+MIN_GAIN = 20.0           # documents times lift: what a few chance co-occurrences do not reach
 TWO_EDITS = 9             # letters from which two edits are allowed
 ONE_EDIT = 5
 QUOTED, REPORTED = 0.25, 0.5
@@ -44,7 +45,8 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     seen = labelled.select("toxic", F.explode(words).alias("word")).where("word <> ''")
     found = seen.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     lift = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
-    top = (found.where(F.col("bad") >= MIN_DOCS).withColumn("lift", lift).where(F.col("lift") >= MIN_LIFT)
+    top = (found.where(F.col("bad") >= MIN_DOCS).withColumn("lift", lift)
+           .where((F.col("lift") >= MIN_LIFT) & (F.col("lift") * F.col("bad") >= MIN_GAIN))
            .orderBy(F.desc(F.col("lift") * F.col("bad")), "word").limit(TERMS))
     return {r["word"]: r["lift"] for r in top.collect()}
 
