@@ -165,4 +165,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns kept, that hold no item. A null id is never matched by id and stays."""
     leaks = stored(contaminated(docs, benchmark).select("doc_id").distinct(), "leaked")
-    return docs.join(leaks, "doc_id", "left_anti")
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)

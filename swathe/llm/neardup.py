@@ -179,7 +179,7 @@ def _first_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
-    """``doc_id, class_id, class_size``, one row per document; the class is its smallest id."""
+    """``doc_id, class_id``, one row per document; the class is its smallest id."""
     keyed = texts(docs).select("doc_id", "text", F.sha2("text", 256).alias("copy"))
     blank = ~F.col("text").rlike("[^\\x20\\x09-\\x0D]")
     owner = F.when(blank | F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -208,14 +208,11 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY, weighted: boo
         classes = stored(components(links.unionByName(more)), "classes")
     final = first.join(classes, first["rep"] == classes["doc_id"], "left").select(
         "copy", F.coalesce("class_id", "rep").alias("class_id"))
-    placed = keyed.select("doc_id", "copy").join(final, "copy").select("doc_id", "class_id")
-    sizes = placed.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return placed.join(sizes, placed["class_id"].eqNullSafe(sizes["class_id"])).select(
-        "doc_id", placed["class_id"], "class_size")
+    return keyed.select("doc_id", "copy").join(final, "copy").select("doc_id", "class_id")
 
 
 def keep_first(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     """The documents, all columns kept, that are the smallest id of their class; null ids stay."""
     classes = near_duplicates(docs, at_least)
     gone = stored(classes.where("doc_id <> class_id").select("doc_id").distinct(), "copies_gone")
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

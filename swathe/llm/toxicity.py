@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swathe.llm.common import fold, texts
+from swathe.llm.common import fold, stored, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 FIT_PER_CLASS = 4000      # labelled texts per class that the fit takes, the smallest by hash
@@ -191,3 +191,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
     return _evidence(plain, weights, "doc_id").select(
         "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), score.alias("score"),
         (score >= threshold).cast("int").alias("predicted"))
+
+
+def keep_harmless(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The documents, all columns kept, that are not predicted toxic; null ids stay."""
+    found = score_documents(docs, labels, threshold).where("predicted = 1").select("doc_id").distinct()
+    return docs.join(stored(found, "toxic"), "doc_id", "left_anti").select(*docs.columns)

@@ -102,46 +102,66 @@ def bucket_count(docs: DataFrame) -> int:
     return max(8, -(-int(chars) // BUCKET_CHARS) * 4)
 
 
-def _removals(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+def _removals(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts, and per later document what it repeats: the smallest id of an equal text, or the
+    hashes of windows that an earlier document holds."""
     plain = texts(docs)
-    keyed = plain.select("doc_id", "text", F.sha2("text", 256).alias("copy"))
-    # The smallest id of every text; only that document lists its windows.
-    first = stored(keyed.groupBy("copy").agg(F.min("doc_id").alias("first_id")), "copies")
-    firsts = first.where("first_id is not null").select(F.col("first_id").alias("doc_id")).distinct()
-    alone = plain.where("doc_id is not null").join(firsts, "doc_id", "left_semi")
-    listed = alone.mapInPandas(_listing(length, bucket_count(plain)),
-                               "bucket int, hashes binary, owners binary, ids binary")
+    keyed = plain.where("doc_id is not null").select("doc_id", F.sha2("text", 256).alias("copy"))
+    first = keyed.groupBy("copy").agg(F.min("doc_id").alias("first_id"))
+    later = stored(keyed.join(first, "copy").where("doc_id > first_id").distinct(), "later_copies")
+    firsts = plain.where("doc_id is not null").withColumn("copy", F.sha2("text", 256)).join(
+        later.select("doc_id", "copy"), ["doc_id", "copy"], "left_anti")
+    listed = firsts.select("doc_id", "text").mapInPandas(
+        _listing(length, bucket_count(plain)), "bucket int, hashes binary, owners binary, ids binary")
     late = listed.groupBy("bucket").applyInPandas(_later_holders, "doc_id long, late binary")
     late = late.groupBy("doc_id").agg(F.collect_list("late").alias("late"))
-    return keyed.join(first, "copy").drop("copy"), late
+    return plain, later.select("doc_id", "copy", F.lit(True).alias("again")), late
 
 
 def mark_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id, n_words, removed, kept_text``: ``removed`` lists the intervals that go."""
-    keyed, late = _removals(docs, length)
+    """``doc_id, copy, n_words, removed, kept_text``: ``removed`` lists the intervals that go, ``copy``
+    is the digest of the text they refer to."""
+    plain, later, late = _removals(docs, length)
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc_id, text, first_id, parts in zip(
-                    batch["doc_id"], batch["text"], batch["first_id"], batch["late"], strict=True):
+            for doc_id, text, copy, again, parts in zip(
+                    batch["doc_id"], batch["text"], batch["copy"], batch["again"], batch["late"], strict=True):
                 words = split_words(text)
                 hit = np.zeros(max(0, len(words) - length + 1), bool)
-                if not pd.isna(doc_id) and doc_id > first_id:
+                if again is True:
                     hit[:] = True
-                elif parts is not None and len(hit) and not pd.isna(doc_id):
+                elif parts is not None and len(hit):
                     hit = np.isin(window_hashes(words, length),
                                   np.concatenate([np.frombuffer(p, "uint64") for p in parts]))
                 mask = covered(hit, len(words), length)
                 spans = [{"first": a, "past": b} for a, b in removal_intervals(mask)]
                 kept = [w for w, gone in zip(words, mask.tolist(), strict=True) if not gone]
-                rows.append((doc_id, len(words), spans, " ".join(kept)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_words", "removed", "kept_text"])
+                rows.append((doc_id, copy, len(words), spans, " ".join(kept)))
+            out = pd.DataFrame(rows, columns=["doc_id", "copy", "n_words", "removed", "kept_text"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
-    schema = "doc_id long, n_words long, removed array<struct<first:long,past:long>>, kept_text string"
-    return keyed.join(late, "doc_id", "left").select("doc_id", "text", "first_id", "late").mapInPandas(
-        run, schema)
+    joined = plain.withColumn("copy", F.sha2("text", 256)).join(later, ["doc_id", "copy"], "left").join(
+        late, "doc_id", "left")
+    schema = ("doc_id long, copy string, n_words long, removed array<struct<first:long,past:long>>, "
+              "kept_text string")
+    return joined.select("doc_id", "text", "copy", "again", "late").mapInPandas(run, schema)
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents with their columns; texts that repeat earlier windows keep their other words,
+    joined by one space, and ``n_chars`` follows where it exists. Other texts stay as they are."""
+    changed = mark_repeats(docs, length).where(F.size("removed") > 0).select(
+        F.col("doc_id").alias("llm_id"), F.col("copy").alias("llm_copy"), F.col("kept_text").alias("llm_kept"))
+    changed = stored(changed.dropDuplicates(["llm_id", "llm_copy"]), "cut")
+    joined = docs.join(changed, (docs["doc_id"] == changed["llm_id"])
+                       & (F.sha2(docs["text"], 256) == changed["llm_copy"]), "left")
+    new = {"text": F.coalesce("llm_kept", docs["text"])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("llm_kept").isNotNull(), F.length("llm_kept").cast(
+            docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
+    return joined.select(*(new.get(c, docs[c]).alias(c) for c in docs.columns))
 
 
 def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
