@@ -86,7 +86,7 @@ ORACLES: dict[str, str] = {
     "op10_substring_dedup": """
         WITH docs AS (
             SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),
-                                       w -> w <> '') AS words FROM documents),
+                                       lambda w: w <> '') AS words FROM documents),
         starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM docs),
         grams AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS gram FROM starts),
         late AS (
