@@ -11,12 +11,12 @@ from swathe.plans import ingest
 from swathe.session import shared_dir
 from swathe.sources import catalog, files
 
-LISTED = """lower(regexp_extract(path, '\\.[^./]+$')) in ('.tif', '.tiff', '.geotiff') and length <= 5368709120"""
+LISTED = """lower(regexp_extract(path, '\\.[^./]+$')) in ('.tif', '.tiff', '.geotiff')"""
 
 
 @query("SRC-01_scene_files", "file_listing", f"select path, length from file_listing where {LISTED}")
 def _(t):
-    return t.file_listing.where(files.is_scene_file(F.col("path"), F.col("length"))).select("path", "length")
+    return t.file_listing.where(files.is_scene_file(F.col("path"))).select("path", "length")
 
 
 @query("SRC-02_file_checksums", "", "select doc_id, sha256(text) as checksum from documents")

@@ -19,7 +19,7 @@ def scene_records(listing: DataFrame, headers: DataFrame) -> tuple[DataFrame, Da
     """
     df = listing.join(headers, "path", "left")
     reason = (
-        F.when(~files.is_scene_file(F.col("path"), F.col("length")), "unsupported file")
+        F.when(~files.is_scene_file(F.col("path")), "unsupported file")
         .when(F.col("width").isNull(), "unreadable raster")
         .when((F.col("width") <= 0) | (F.col("height") <= 0), "zero dimensions")
         .when(F.col("band_count") <= 0, "no bands"))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Accepted extensions and the largest accepted file.
+# Accepted extensions.
 EXTENSIONS = [".tif", ".tiff", ".geotiff"]
-MAX_BYTES = 5 * 1024 ** 3
 
 # Tag names that carry a date, a sensor or a platform, in order of trust.
 DATE_TAGS = ["ACQUISITIONDATETIME", "ACQUISITION_DATE", "DATE_ACQUIRED", "Acquisition_DateTime",
@@ -33,16 +32,16 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(file_name(path), r"\.[^.]*$", "")
 
 
-def is_scene_file(path: Column, length: Column) -> Column:
+def is_scene_file(path: Column) -> Column:
     suffix = F.lower(F.regexp_extract(file_name(path), r"\.[^.]+$", 0))
-    return suffix.isin(EXTENSIONS) & (length <= MAX_BYTES)
+    return suffix.isin(EXTENSIONS)
 
 
 def scan_scene_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, modificationTime) of the rasters under a folder; no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return files.select("path", "length", "modificationTime").where(
-        is_scene_file(F.col("path"), F.col("length")))
+        is_scene_file(F.col("path")))
 
 
 def file_checksums(files: DataFrame) -> DataFrame:
