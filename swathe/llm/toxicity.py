@@ -75,10 +75,13 @@ class LexiconTrie:
                 self.inner.setdefault(size, set()).update(
                     term[a:b] for a, b in zip(cuts[1:-2], cuts[2:-1], strict=True))
 
+        for pieces in (self.heads, self.tails, self.inner):
+            pieces.update({size: tuple(sorted(found)) for size, found in pieces.items()})
+
     def may_be_near(self, word: str) -> bool:
         size = len(word)
         return size in self.heads and (
-            word.startswith(tuple(self.heads[size])) or word.endswith(tuple(self.tails[size]))
+            word.startswith(self.heads[size]) or word.endswith(self.tails[size])
             or any(piece in word for piece in self.inner[size]))
 
     def closest(self, word: str) -> tuple[str, int] | None:
