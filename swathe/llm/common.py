@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swathe.session import shared_dir
 
 SPACES = "[\\x20\\x09-\\x0D]+"
-SPACE_CODES = " \t\n\x0b\x0c\r"
-_TO_SPACE = {ord(c): " " for c in SPACE_CODES}
+# Byte tables: the six separators to a space, and A-Z to lower case besides. UTF-8 keeps ASCII bytes apart.
+_TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5)
+_TO_LOWER = _TO_SPACE.lower()
 # Lower-casing of A-Z alone, as the contracts ask; other letters stay.
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -26,9 +28,41 @@ def texts(docs: DataFrame) -> DataFrame:
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def split_words(text: str) -> list[str]:
-    """Maximal runs of characters other than space and U+0009 to U+000D."""
-    return [w for w in text.translate(_TO_SPACE).split(" ") if w]
+def split_words(text: str, lower: bool = False) -> list[str]:
+    """Maximal runs of characters other than space and U+0009 to U+000D; ``lower`` lower-cases A-Z."""
+    data = text.encode("utf-8", "surrogatepass").translate(_TO_LOWER if lower else _TO_SPACE)
+    return [w for w in data.decode("utf-8", "surrogatepass").split(" ") if w]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Spread 64-bit values over all bits (the finalizer of SplitMix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+# A random value per byte, so that words are polynomials with mixed coefficients.
+_BYTE_VALUES = mix(np.arange(1, 257, dtype="uint64") * np.uint64(0x9E3779B97F4A7C15))
+_WORD_BASE = np.uint64(0xD1342543DE82EF95)
+_POWERS = np.cumprod(np.full(64, _WORD_BASE))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash per word of ``split_words``, straight from the bytes of the text."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), "uint8")
+    solid = (data != 32) & ((data < 9) | (data > 13))
+    letters = data[solid]
+    if not len(letters):
+        return np.empty(0, "uint64")
+    opens = solid.copy()
+    opens[1:] &= ~solid[:-1]
+    starts = np.flatnonzero(opens[solid])
+    sizes = np.diff(np.append(starts, len(letters)))
+    place = np.arange(len(letters)) - np.repeat(starts, sizes)
+    longest = int(sizes.max())
+    powers = _POWERS if longest <= len(_POWERS) else np.cumprod(np.full(longest, _WORD_BASE))
+    sums = np.add.reduceat(_BYTE_VALUES[letters] * powers[place], starts)
+    return mix(sums + sizes.astype("uint64"))
 
 
 def words_column(text: Column) -> Column:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from swathe.llm.common import split_words, stored, texts
+from swathe.llm.common import mix, stored, texts, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -33,24 +33,17 @@ FEW = 24
 POISSON = np.cumsum([1.0 / np.e / f for f in np.cumprod([1.0, *range(1, 16)])])
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def unit(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype("float64") / float(1 << 53)
 
 
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, sorted, and their counts."""
-    words = split_words(text)
-    if not words:
+    codes = word_hashes(text)
+    if not len(codes):
         return np.empty(0, "uint64"), np.empty(0, "int64")
-    codes = pd.util.hash_array(np.array(words, dtype=object), categorize=True)
-    size = min(SHINGLE, len(words))
-    rolled = np.full(len(words) - size + 1, size, "uint64")
+    size = min(SHINGLE, len(codes))
+    rolled = np.full(len(codes) - size + 1, size, "uint64")
     for k in range(size):
         rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + codes[k:k + len(rolled)])
     return np.unique(rolled, return_counts=True)

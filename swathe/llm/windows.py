@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swathe.llm.common import split_words, stored, texts
+from swathe.llm.common import split_words, stored, texts, word_hashes
 
 LENGTH = 13
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -27,12 +27,12 @@ MIX = np.uint64(0xD6E8FEB86659FD93)
 BUCKET_CHARS = 64 << 20
 
 
-def window_hashes(words: list[str], length: int = LENGTH) -> np.ndarray:
+def window_hashes(text: str, length: int = LENGTH) -> np.ndarray:
     """One hash per start: a polynomial over the words' hashes, modulo 2^64, then mixed."""
-    n = len(words) - length + 1
+    codes = word_hashes(text)
+    n = len(codes) - length + 1
     if n <= 0:
         return np.empty(0, "uint64")
-    codes = pd.util.hash_array(np.array(words, dtype=object), categorize=True)
     rolled = np.zeros(n, "uint64")
     for k in range(length):
         rolled = rolled * BASE + codes[k:k + n]
@@ -58,7 +58,7 @@ def _listing(length: int, buckets: int):
     """Per batch and bucket: the hashes, sorted, beside the ids of the documents that hold them."""
     def run(batches):
         for batch in batches:
-            per_doc = [np.unique(window_hashes(split_words(t), length)) for t in batch["text"]]
+            per_doc = [np.unique(window_hashes(t, length)) for t in batch["text"]]
             if not sum(map(len, per_doc)):
                 continue
             ids = batch["doc_id"].to_numpy("int64")
@@ -133,7 +133,7 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 if again is True:
                     hit[:] = True
                 elif parts is not None and len(hit):
-                    hit = np.isin(window_hashes(words, length),
+                    hit = np.isin(window_hashes(text, length),
                                   np.concatenate([np.frombuffer(p, "uint64") for p in parts]))
                 mask = covered(hit, len(words), length)
                 spans = [{"first": a, "past": b} for a, b in removal_intervals(mask)]
