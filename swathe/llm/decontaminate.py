@@ -27,7 +27,8 @@ BLOCK_CHARS = 8 << 20
 BASE = np.uint64(0x100000001B3)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BITS = 22
-OTHER = re.compile(r"[\W_]+")
+# Runs of other characters; a lone space is left out as it stays what it is.
+OTHER = re.compile(r"[\W_]{2,}|[^\w ]|_")
 
 
 def normal(text: str) -> str:
@@ -89,9 +90,11 @@ class Benchmark:
         owner = np.repeat(np.arange(len(grams)), sizes)
         place = np.concatenate([np.arange(n) for n in sizes]) if grams else np.empty(0, "int64")
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owner, self.place = hashes[order], owner[order], place[order]
+        self.owner, self.place = owner[order], place[order]
+        # Distinct grams, and for every posting the number of its gram.
+        self.grams, self.gram = np.unique(hashes[order], return_inverse=True)
         self.known = np.zeros(1 << BITS, bool)
-        self.known[self.hashes >> np.uint64(64 - BITS)] = True
+        self.known[self.grams >> np.uint64(64 - BITS)] = True
         self.codes = [np.frombuffer(t.encode("utf-32-le", "replace"), "<u4") for _, t in self.items]
         self.edits = np.array([budget(len(c)) for c in self.codes], "int64")
         self.bound = np.array([len(c) - Q + 1 - k * Q for c, k in zip(self.codes, self.edits, strict=True)])
@@ -103,33 +106,48 @@ class Benchmark:
         text = normal(text)
         hashes = gram_hashes(text)
         at = np.flatnonzero(self.known[hashes >> np.uint64(64 - BITS)])
-        left, right = (np.searchsorted(self.hashes, hashes[at], side) for side in ("left", "right"))
-        count = right - left
-        if not count.sum():
+        if not len(at):
             return {}
+        gram = np.minimum(np.searchsorted(self.grams, hashes[at]), len(self.grams) - 1)
+        same = self.grams[gram] == hashes[at]
+        at, gram = at[same], gram[same]
+        # Items of which too few places stand anywhere in the text cannot reach the bound in a band.
+        present = np.zeros(len(self.grams), bool)
+        present[gram] = True
+        places = np.bincount(self.owner[present[self.gram]], minlength=len(self.items))
+        postings = np.flatnonzero((places >= self.bound)[self.owner])
+        if not len(postings):
+            return {}
+        size = np.bincount(self.gram[postings], minlength=len(self.grams))
+        begin = np.cumsum(size) - size
+        count = size[gram]
         where = np.repeat(at, count)
-        hit = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left, count)
+        hit = postings[np.arange(len(where)) + np.repeat(begin[gram] - np.cumsum(count) + count, count)]
         owner, place = self.owner[hit], self.place[hit]
-        # Items with too few hits anywhere cannot reach the bound in a band.
-        enough = np.bincount(owner, minlength=len(self.items)) >= self.bound
-        keep = enough[owner]
-        owner, place, where = owner[keep], place[keep], where[keep]
-        if not len(owner):
-            return {}
-        step = self.edits[owner] + 1
-        band = (where - place) // step
-        rows = np.concatenate([np.stack([owner, band + d, place]) for d in (0, -1)], axis=1)
-        rows = np.unique(rows, axis=1)
-        edge = np.flatnonzero(np.any(np.diff(rows[:2], axis=1) != 0, axis=0)) + 1
-        cuts = np.concatenate(([0], edge, [rows.shape[1]]))
+        # Cells of k + 1 diagonals; a band is a cell and the next, so neighbouring bands overlap.
+        cell = (owner << 40) + (where - place) // (self.edits[owner] + 1) + (1 << 39)
+        order = np.argsort(cell, kind="stable")
+        cell, place = cell[order], place[order]
+        cells, first = np.unique(cell, return_index=True)
+        count = np.diff(np.append(first, len(cell)))
+        joined = np.append(cells[1:] == cells[:-1] + 1, False)
+        in_band = count + np.where(joined, np.append(count[1:], 0), 0)
+        of = cells >> 40
         found: dict[int, tuple] = {}
         codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-        for a, n in zip(cuts[:-1], np.diff(cuts), strict=True):
-            o, b = int(rows[0, a]), int(rows[1, a])
-            if n < self.bound[o]:
-                continue
+        for c in np.flatnonzero(in_band >= self.bound[of]).tolist():
+            o = int(of[c])
             item, k = self.items[o][0], int(self.edits[o])
-            low = b * (k + 1)
+            if item in found and found[item][0] == 0:
+                continue
+            # A gram that the text repeats inside the band counts once.
+            if len(np.unique(place[first[c]:first[c] + in_band[c]])) < self.bound[o]:
+                continue
+            exact = text.find(self.items[o][1])
+            if exact >= 0:
+                found[item] = 0, exact, exact + len(self.items[o][1])
+                continue
+            low = (int(cells[c] & ((1 << 40) - 1)) - (1 << 39)) * (k + 1)
             best = banded_edits(self.codes[o], codes, k, low - k, low + 2 * (k + 1) - 1 + k)
             if best and (item not in found or best < found[item]):
                 found[item] = best
