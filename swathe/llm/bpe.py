@@ -14,9 +14,11 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,10 +29,17 @@ from pyspark.sql import functions as F
 from swathe.llm.common import texts
 
 END = "</w>"
-CACHED_WORDS = 1 << 16
+CACHED_WORDS = 1 << 18
 CACHED_LENGTH = 48
-# The pieces that the vocabulary file's splitter cuts.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+BLOCK = 4096              # ids or characters taken at a time
+SCANNED = 32              # symbols up to which a scan for the lowest rank beats a heap
+# The pieces that the vocabulary file's splitter cuts. No two alternatives but the second
+# and the last start with the same character, so words, the most frequent, may come first.
+PIECES = r"\p{L}+|'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+# The same below U+0250 for the faster standard module, whose \w holds six numbers and \s four controls.
+BEYOND_LATIN = re.compile("[\u0250-\U0010FFFF]")
+LATIN_PIECES = re.compile(
+    r"[^\W\d_²³¹¼½¾]+|'(?:s|t|re|ve|m|ll|d)|[\d²³¹¼½¾]|(?:[^\w\s]|[_\x1C-\x1F])+")
 
 
 def byte_alphabet() -> list[str]:
@@ -41,6 +50,26 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+def blocks(ids: Iterable[int], size: int = BLOCK) -> Iterator[list[int]]:
+    ids = iter(ids)
+    while part := list(islice(ids, size)):
+        yield part
+
+
+class Pieces(dict):
+    """The ids of short pieces that were seen, emptied when full."""
+
+    def __init__(self, coder: Transducer):
+        super().__init__()
+        self.coder = coder
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        ids = self[piece] = self.coder._short_piece(piece)
+        return ids
+
+
 class Transducer:
     """Encodes text piece by piece with the vocabulary and merges of a tokenizer file."""
 
@@ -54,12 +83,13 @@ class Transducer:
         self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.decoder = (spec.get("decoder") or {}).get("type")
         self.alphabet = byte_alphabet()
+        self.shown_byte = dict(enumerate(self.alphabet))
         self.piece = regex.compile(PIECES)
         self.mark = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.touching = {
             body[i:i + 2] for token in self.vocab for body in [token.removesuffix(END)]
             for i in range(len(body) - 1)}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.short = Pieces(self)
 
     def encode(self, text: str) -> Iterator[int]:
         """Ids in order, each as soon as no later character can change it."""
@@ -74,24 +104,24 @@ class Transducer:
         text = unicodedata.normalize("NFC", text)
         # Lower-case letter by letter: the final form of sigma depends on context otherwise.
         text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        cache = self.cache
-        for match in self.piece.finditer(text):
+        short = self.short
+        pattern = self.piece if BEYOND_LATIN.search(text) else LATIN_PIECES
+        for match in pattern.finditer(text):
             piece = match.group()
-            ids = cache.get(piece)
-            if ids is None:
-                if len(piece) > CACHED_LENGTH:
-                    yield from self._piece(piece)
-                    continue
-                ids = tuple(self._piece(piece))
-                if len(cache) >= CACHED_WORDS:
-                    cache.clear()
-                cache[piece] = ids
-            yield from ids
+            if len(piece) > CACHED_LENGTH:
+                yield from self._piece(piece)
+            else:
+                yield from short[piece]
 
     def _symbols(self, piece: str) -> Iterator[str]:
-        for char in piece:
-            for byte in char.encode("utf-8", "replace"):
-                yield self.alphabet[byte]
+        for i in range(0, len(piece), BLOCK):
+            data = piece[i:i + BLOCK].encode("utf-8", "replace")
+            yield from data.decode("latin-1").translate(self.shown_byte)
+
+    def _short_piece(self, piece: str) -> tuple[int, ...]:
+        symbols = list(self._symbols(piece))
+        symbols[-1] += END
+        return tuple(self._merge(symbols))
 
     def _piece(self, piece: str) -> Iterator[int]:
         held: list[str] = []
@@ -105,7 +135,22 @@ class Transducer:
             yield from self._merge(held)
 
     def _merge(self, symbols: list[str]) -> Iterator[int]:
-        """Lowest rank first, leftmost among equals, over a linked list."""
+        """Lowest rank first, leftmost among equals; a long stretch over a linked list."""
+        if len(symbols) > SCANNED:
+            return self._merge_long(symbols)
+        rank, none = self.rank, len(self.rank)
+        ranks = [rank.get(pair, none) for pair in zip(symbols, symbols[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            ranks.pop(i)
+            if i < len(ranks):
+                ranks[i] = rank.get((symbols[i], symbols[i + 1]), none)
+            if i:
+                ranks[i - 1] = rank.get((symbols[i - 1], symbols[i]), none)
+        return map(self.vocab.__getitem__, symbols)
+
+    def _merge_long(self, symbols: list[str]) -> Iterator[int]:
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(r, i, i + 1) for i in range(n - 1)
@@ -129,19 +174,23 @@ class Transducer:
         return (self.vocab[p] for p in parts if p is not None)
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
+        return self.decode_blocks(blocks(ids))
+
+    def decode_blocks(self, parts: Iterable[list[int]]) -> Iterator[str]:
         """Text in steps. A byte-level file goes through an incremental UTF-8 state machine; a file
         without decoder shows its tokens, one space between them."""
         if self.decoder is None:
-            first = True
-            for i in ids:
-                yield self.text_of[i] if first else " " + self.text_of[i]
-                first = False
+            lead = ""
+            for part in parts:
+                yield lead + " ".join(map(self.text_of.__getitem__, part))
+                lead = " "
             return
         byte_of = {c: b for b, c in enumerate(self.alphabet)}
+        marks = set(self.special.values())
         state = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:
+        for i in (i for part in parts for i in part):
             token = self.text_of[i].removesuffix(END)
-            if i in self.special.values():
+            if i in marks:
                 yield state.decode(b"", True) + token
                 state.reset()
             else:
@@ -178,25 +227,16 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, digests of ids and decoded text, in one pass over each text."""
     def digest(coder: Transducer, text: str) -> tuple[int, str, str]:
-        packed, shown, count, block = hashlib.sha256(), hashlib.sha256(), 0, []
+        packed, shown, count = hashlib.sha256(), hashlib.sha256(), 0
 
         def stream():
             nonlocal count
-            for i in coder.encode(text):
-                count += 1
-                block.append(i)
-                if len(block) == 4096:
-                    packed.update(np.array(block, "<u4").tobytes())
-                    block.clear()
-                yield i
-        pieces = []
-        for part in coder.decode(stream()):
-            pieces.append(part)
-            if len(pieces) == 4096:
-                shown.update("".join(pieces).encode())
-                pieces.clear()
-        shown.update("".join(pieces).encode())
-        packed.update(np.array(block, "<u4").tobytes())
+            for part in blocks(coder.encode(text)):
+                count += len(part)
+                packed.update(np.array(part, "<u4").tobytes())
+                yield part
+        for step in coder.decode_blocks(stream()):
+            shown.update(step.encode())
         return count, packed.hexdigest(), shown.hexdigest()
 
     def run(batches):
