@@ -93,25 +93,33 @@ class LexiconTrie:
         if word not in self.cache:
             if len(self.cache) > 1 << 17:
                 self.cache.clear()
-            self.cache[word] = self._walk(word, 2) if self.may_be_near(word) else None
+            self.cache[word] = self._walk(word) if self.may_be_near(word) else None
         return self.cache[word]
 
-    def _walk(self, word: str, most: int) -> tuple[str, int] | None:
+    def _walk(self, word: str) -> tuple[str, int] | None:
+        """The automaton's states after some letters of a term are the bits of three numbers: how many
+        letters of ``word`` can be matched with no, at most one, at most two edits."""
+        size = len(word)
+        last, states = 1 << size, (2 << size) - 1
+        places: dict[str, int] = {}
+        for i, letter in enumerate(word):
+            places[letter] = places.get(letter, 0) | 1 << i
         best: tuple[int, str] | None = None
-        stack = [(self.root, list(range(len(word) + 1)))]
+        stack = [(self.root, 1, 3 & states, 7 & states)]
         while stack:
-            node, row = stack.pop()
+            node, none, one, two = stack.pop()
             for letter, child in node.items():
                 if letter == "":
-                    if row[-1] <= min(most, allowed_edits(child)) and (best is None or (row[-1], child) < best):
-                        best = row[-1], child
+                    edits = 0 if none & last else 1 if one & last else 2 if two & last else 3
+                    if edits <= allowed_edits(child) and (best is None or (edits, child) < best):
+                        best = edits, child
                     continue
-                state = [row[0] + 1]
-                for i, c in enumerate(word, 1):
-                    cost = min(row[i] + 1, state[-1] + 1, row[i - 1] + (c != letter))
-                    state.append(cost)
-                if min(state) <= most:
-                    stack.append((child, state))
+                here = places.get(letter, 0)
+                to_none = (none & here) << 1
+                to_one = ((one & here) << 1 | none | (none | to_none) << 1) & states
+                to_two = ((two & here) << 1 | one | (one | to_one) << 1) & states
+                if to_two:
+                    stack.append((child, to_none, to_one, to_two))
         return (best[1], best[0]) if best else None
 
     def evidence(self, text: str) -> float:
@@ -119,10 +127,10 @@ class LexiconTrie:
         if not self.weights:
             return 0.0
         lowered, total, quoted, at = text.lower(), 0.0, False, 0
-        recent: list[str] = []
+        seen: list[str] = []
         for match in WORD.finditer(lowered):
             between = lowered[at:match.start()]
-            for mark in between:
+            for mark in between if between != " " else ():
                 if mark in QUOTES:
                     quoted = not quoted
                 elif mark == "\n":
@@ -130,10 +138,9 @@ class LexiconTrie:
             at, word = match.end(), match.group()
             hit = self.closest(word)
             if hit:
-                share = QUOTED if quoted else REPORTED if SAYING.intersection(recent) else 1.0
+                share = QUOTED if quoted else REPORTED if SAYING.intersection(seen[-CONTEXT:]) else 1.0
                 total += self.weights[hit[0]] * share * (1.0, 0.7, 0.5)[hit[1]]
-            recent.append(word)
-            del recent[:-CONTEXT]
+            seen.append(word)
         return total
 
 
