@@ -56,14 +56,15 @@ def allowed_edits(term: str) -> int:
 
 
 class LexiconTrie:
-    """Terms as a trie; ``closest`` runs the Levenshtein automaton of a word down its branches."""
+    """Terms as a trie per length; ``closest`` runs the Levenshtein automaton of a word down the branches
+    of the lengths that its edits can reach."""
 
     def __init__(self, weights: dict[str, float]):
-        self.weights, self.root, self.cache = weights, {}, {}
+        self.weights, self.roots, self.cache = weights, {}, {}
         # Word length -> stretches of which a near word keeps one: k edits leave one of k + 1 whole.
         self.heads, self.tails, self.inner = {}, {}, {}
         for term in weights:
-            node = self.root
+            node = self.roots.setdefault(len(term), {})
             for letter in term:
                 node = node.setdefault(letter, {})
             node[""] = term
@@ -91,7 +92,7 @@ class LexiconTrie:
         if len(word) < ONE_EDIT - 1:
             return None
         if word not in self.cache:
-            if len(self.cache) > 1 << 17:
+            if len(self.cache) > 1 << 18:
                 self.cache.clear()
             self.cache[word] = self._walk(word) if self.may_be_near(word) else None
         return self.cache[word]
@@ -105,21 +106,26 @@ class LexiconTrie:
         for i, letter in enumerate(word):
             places[letter] = places.get(letter, 0) | 1 << i
         best: tuple[int, str] | None = None
-        stack = [(self.root, 1, 3 & states, 7 & states)]
+        start = 1, 3 & states, 7 & states
+        stack = []
+        for length, root in self.roots.items():
+            edits = allowed_edits("x" * length)
+            if edits >= abs(length - size):
+                stack.append((edits, root, *start))
         while stack:
-            node, none, one, two = stack.pop()
+            most, node, none, one, two = stack.pop()
             for letter, child in node.items():
                 if letter == "":
                     edits = 0 if none & last else 1 if one & last else 2 if two & last else 3
-                    if edits <= allowed_edits(child) and (best is None or (edits, child) < best):
+                    if edits <= most and (best is None or (edits, child) < best):
                         best = edits, child
                     continue
                 here = places.get(letter, 0)
                 to_none = (none & here) << 1
                 to_one = ((one & here) << 1 | none | (none | to_none) << 1) & states
                 to_two = ((two & here) << 1 | one | (one | to_one) << 1) & states
-                if to_two:
-                    stack.append((child, to_none, to_one, to_two))
+                if to_two if most == 2 else to_one if most else to_none:
+                    stack.append((most, child, to_none, to_one, to_two))
         return (best[1], best[0]) if best else None
 
     def evidence(self, text: str) -> float:
