@@ -7,8 +7,8 @@ coordinate with the chance of their weighted Jaccard similarity. Weights are 1 p
 default (then it is the Jaccard similarity of sets), or counts.
 
 Equal texts are collapsed first. Signatures are cut in bands; a band value with few holders is joined
-in full, one with many links its holders to the first and to the neighbour, and joins only those that
-are still in different classes afterwards. Every candidate is checked on its exact shingle weights, and
+in full, one with many links its holders to the first, and joins only those that are still in
+different classes afterwards. Every candidate is checked on its exact shingle weights, and
 classes are connected components of verified links, found by rounds of joins.
 
 A shingle is five words (runs other than space and U+0009 to U+000D); a shorter text is one shingle.
