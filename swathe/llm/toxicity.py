@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +24,8 @@ from swathe.llm.common import fold, stored, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 FIT_PER_CLASS = 4000      # labelled texts per class that the fit takes, the smallest by hash
-TERMS = 500               # lexicon size bound
-MIN_DOCS = 3
 MIN_LIFT = math.log(20)
-MIN_GAIN = 20.0           # documents times lift: what a few chance co-occurrences do not reach
+BY_CHANCE = 0.5           # words that may be expected to become terms by chance co-occurrence, at any size
 TWO_EDITS = 9             # letters from which two edits are allowed
 ONE_EDIT = 5
 QUOTED, REPORTED = 0.25, 0.5
@@ -35,20 +34,61 @@ CONTEXT = 3
 QUOTES = "\"“”„«»"
 
 
+def chance_tails(held: int, n_bad: int, n_good: int) -> np.ndarray:
+    """[b]: chance that at least ``b`` of a word's ``held`` texts are toxic if it fell on texts at random."""
+    size = n_bad + n_good
+    factorial = np.array([math.lgamma(i + 1) for i in range(size + 1)])
+    b = np.arange(max(0, held - n_good), min(held, n_bad) + 1)
+    ways = (factorial[n_bad] - factorial[b] - factorial[n_bad - b]
+            + factorial[n_good] - factorial[held - b] - factorial[n_good - held + b]
+            - factorial[size] + factorial[held] + factorial[size - held])
+    tails = np.ones(min(held, n_bad) + 1)
+    tails[b] = np.minimum(1.0, np.cumsum(np.exp(ways)[::-1])[::-1])
+    return tails
+
+
+def term_cells(cells: list[tuple[int, int, int]], n_bad: int, n_good: int) -> list[tuple[int, int, float]]:
+    """``bad, good, lift`` of the counts whose words are terms, from ``bad, good, words`` of all counts.
+
+    Of the counts that reach the lift, all up to the largest chance are taken at which at most
+    ``BY_CHANCE`` words are expected if toxic labels fell at random. This asks no fixed number of texts.
+    """
+    held: dict[int, int] = {}
+    for bad, good, words in cells:
+        held[bad + good] = held.get(bad + good, 0) + words
+    lift = lambda bad, good: np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
+    rare = {}
+    for k in held:
+        tails = chance_tails(k, n_bad, n_good)
+        counts = np.arange(len(tails))
+        rare[k] = np.where(lift(counts, np.maximum(k - counts, 0)) >= MIN_LIFT, tails, np.inf)
+    chances = np.unique([rare[b + g][b] for b, g, _ in cells if rare[b + g][b] < np.inf])
+    by_chance = np.zeros(len(chances))
+    for k, words in held.items():
+        steps = np.sort(rare[k][rare[k] < np.inf])
+        place = np.searchsorted(steps, chances, "right")
+        by_chance += words * np.where(place > 0, np.append(0.0, steps)[place], 0.0)
+    most = max(chances[by_chance <= BY_CHANCE], default=-1.0)
+    return [(b, g, float(lift(b, g))) for b, g, _ in cells if rare[b + g][b] <= most]
+
+
 def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
-    """Term -> weight (log ratio of document frequencies) from ``text, toxic``."""
+    """Term -> weight (log ratio of document frequencies) from ``text, toxic``; every word that passes."""
     sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)
     if not n_bad:
         return {}
     words = F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+"))
     seen = labelled.select("toxic", F.explode(words).alias("word")).where("word <> ''")
-    found = seen.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    lift = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
-    top = (found.where(F.col("bad") >= MIN_DOCS).withColumn("lift", lift)
-           .where((F.col("lift") >= MIN_LIFT) & (F.col("lift") * F.col("bad") >= MIN_GAIN))
-           .orderBy(F.desc(F.col("lift") * F.col("bad")), "word").limit(TERMS))
-    return {r["word"]: r["lift"] for r in top.collect()}
+    found = stored(seen.groupBy("word").agg(
+        F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")), "words")
+    cells = [tuple(r) for r in found.groupBy("bad", "good").count().collect()]
+    lifts = {(b, g): lift for b, g, lift in term_cells(cells, n_bad, n_good)}
+    if not lifts:
+        return {}
+    taken = labelled.sparkSession.createDataFrame(list(lifts), "bad long, good long")
+    terms = found.join(F.broadcast(taken), ["bad", "good"]).collect()
+    return {r["word"]: lifts[r["bad"], r["good"]] for r in sorted(terms, key=lambda r: r["word"])}
 
 
 def allowed_edits(term: str) -> int:
@@ -61,8 +101,13 @@ class LexiconTrie:
 
     def __init__(self, weights: dict[str, float]):
         self.weights, self.roots, self.cache = weights, {}, {}
-        # Word length -> stretches of which a near word keeps one: k edits leave one of k + 1 whole.
+        # Word length -> length of a stretch -> stretches of which a near word keeps one: k edits leave
+        # one of k + 1 whole.
         self.heads, self.tails, self.inner = {}, {}, {}
+
+        def keep(pieces: dict, size: int, piece: str) -> None:
+            pieces.setdefault(size, {}).setdefault(len(piece), set()).add(piece)
+
         for term in weights:
             node = self.roots.setdefault(len(term), {})
             for letter in term:
@@ -71,19 +116,18 @@ class LexiconTrie:
             edits = allowed_edits(term)
             cuts = [len(term) * i // (edits + 1) for i in range(edits + 2)]
             for size in range(len(term) - edits, len(term) + edits + 1) if edits else ():
-                self.heads.setdefault(size, set()).add(term[:cuts[1]])
-                self.tails.setdefault(size, set()).add(term[cuts[-2]:])
-                self.inner.setdefault(size, set()).update(
-                    term[a:b] for a, b in zip(cuts[1:-2], cuts[2:-1], strict=True))
-
-        for pieces in (self.heads, self.tails, self.inner):
-            pieces.update({size: tuple(sorted(found)) for size, found in pieces.items()})
+                keep(self.heads, size, term[:cuts[1]])
+                keep(self.tails, size, term[cuts[-2]:])
+                for a, b in zip(cuts[1:-2], cuts[2:-1], strict=True):
+                    keep(self.inner, size, term[a:b])
 
     def may_be_near(self, word: str) -> bool:
         size = len(word)
         return size in self.heads and (
-            word.startswith(self.heads[size]) or word.endswith(self.tails[size])
-            or any(piece in word for piece in self.inner[size]))
+            any(word[:n] in found for n, found in self.heads[size].items())
+            or any(word[size - n:] in found for n, found in self.tails[size].items())
+            or any(word[i:i + n] in found for n, found in self.inner.get(size, {}).items()
+                   for i in range(size - n + 1)))
 
     def closest(self, word: str) -> tuple[str, int] | None:
         """(term, edits) with the fewest edits, ties to the first term; None if none is near."""

@@ -123,6 +123,28 @@ def test_toxicity_held_out(spark):
     assert len(caught) >= 0.6 * sum(marks[r["doc_id"]] for r in held)
 
 
+def test_lexicon_keeps_all_terms_at_every_size(spark):
+    forms = {a + b + c + "zzz" for a in "abcdefghi" for b in "abcdefghi" for c in "abcdefghi"}
+    rows = [(f"plain {' '.join(forms)}", 1)] * 10 + [(f"plain word{chr(97 + i % 26)}", 0) for i in range(200)]
+    assert set(toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))) == forms
+    rows = [("a vile text", 1)] * 4 + [("a text", 1)] + [("a text once", 0)] * 40
+    assert set(toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))) == {"vile"}
+    # Three words that a third of the texts hold each, whatever their label, are none.
+    rows = [(f"w{'xyz'[i % 3]}", int(i % 7 == 0)) for i in range(60)]
+    assert toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int")) == {}
+    tails = toxicity.chance_tails(3, 6, 46)
+    assert tails[0] == pytest.approx(1) and tails[3] == pytest.approx(math.comb(6, 3) / math.comb(52, 3))
+
+
+def test_near_word_filter_loses_no_term():
+    rng = random.Random(2)
+    terms = {"".join(rng.choices("abc", k=rng.randint(3, 11))) for _ in range(60)}
+    trie = toxicity.LexiconTrie(dict.fromkeys(terms, 1.0))
+    for _ in range(400):
+        word = "".join(rng.choices("abc", k=rng.randint(4, 11)))
+        assert word in terms or trie._walk(word) is None or trie.may_be_near(word)
+
+
 def test_repeated_words(spark, rows):
     got = {r["doc_id"]: r for r in quality.measures(table(spark, FOLDER, "documents")).collect()}
     for doc_id, text in rows:
