@@ -94,12 +94,21 @@ def _log(t):
     return t.query_log.groupBy("raw_query").agg(F.min("query_id").alias("query_id"))
 
 
+def _for_each_query(answers, log, asked):
+    """The answers of each wording for every query id that has it."""
+    ids = log.select("raw_query", F.col("query_id").alias("_each"))
+    same = ids.join(asked, ids["raw_query"].eqNullSafe(asked["raw_query"])).select("_each", "query_id")
+    return answers.join(same, "query_id").withColumn("query_id", F.col("_each")).drop("_each")
+
+
 @query("SCR-07_semantic_search")
 def _(t):
     scenes = t.scenes
+    asked = _log(t)
     found = search.semantic_search(
-        _log(t), t.tiles.withColumn("sensor", F.when(F.col("sensor").startswith("Sentinel"), "Sentinel-2").otherwise("Landsat")),
+        asked, t.tiles.withColumn("sensor", F.when(F.col("sensor").startswith("Sentinel"), "Sentinel-2").otherwise("Landsat")),
         scenes, t.vectors, landcover.landcover(t.images),
         t.provenance.withColumn("details", F.struct("event_id")), top_k=5)
+    found = _for_each_query(found, t.query_log, asked)
     return found.select("query_id", "rank", "tile_id", "filename", "display_score",
                         F.round("score", 6).alias("score"), "thumbnail_url")

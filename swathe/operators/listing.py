@@ -164,18 +164,18 @@ def model_eval_rates(cases: DataFrame) -> DataFrame:
 # -- selection for change analysis -----------------------------------------------------------
 
 def change_tiles(tiles: DataFrame, start=None, end=None, aoi_ring=None, location_box=None) -> DataFrame:
-    """Valid tiles in a date range and area, with the fallbacks of change analysis.
+    """Valid tiles in a date range and area, with the fallbacks of change analysis. No date is no filter.
 
     An area of interest that meets no footprint falls back to tile centres in
     its envelope; a location that holds no tile centre falls back to the whole
     archive. Each tile gets the tier it qualifies for and the best tier that
     occurs is kept, so the fallback is part of one plan.
     """
-    start = "2015-01-01" if start is None else start
-    end = "2030-01-01" if end is None else end
-    base = tiles.where(
-        F.col("is_valid") & (F.col("acquisition_date") >= F.lit(start).cast("timestamp"))
-        & (F.col("acquisition_date") <= F.lit(end).cast("timestamp")))
+    base = tiles.where("is_valid")
+    if start is not None:
+        base = base.where(F.col("acquisition_date") >= F.lit(start).cast("timestamp"))
+    if end is not None:
+        base = base.where(F.col("acquisition_date") <= F.lit(end).cast("timestamp"))
     lon, lat = F.col("center_lon"), F.col("center_lat")
     if aoi_ring is not None:
         ring = geometry.ring_literal(aoi_ring)

@@ -118,11 +118,12 @@ def search_by_vector(
         tiles.drop("vector"), "tile_id")
     condition = vectors.payload_filter(polygon=polygon, **filters)
     exact = polygon is not None and len(polygon) >= 3
-    hits = vectors.topk(index, query, vectors.visual_fetch_limit(top_k, exact), condition)
     if exact:
+        # Tested before the ranking, so that no near tile outside takes the place of one inside.
         footprint, ring = tuple(F.col(c) for c in FOOTPRINT), geometry.ring_literal(polygon)
         test = geometry.box_within_ring if mode == "within" else geometry.box_intersects_ring
-        hits = hits.where(test(footprint, ring)).orderBy(F.desc("score"), "tile_id").limit(top_k)
+        condition = condition & test(footprint, ring)
+    hits = vectors.topk(index, query, top_k, condition)
     out = hits.join(scenes.select("scene_id", "filename"), "scene_id")
     if provenance is not None:
         out = latest_provenance(out, provenance, "embedding")
