@@ -17,7 +17,7 @@ FOLDER = "/root/testdata/sf0.001"
 def test_oracle(name, spark):
     own = queries.QUERIES[name](spark, FOLDER).toPandas()
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     sql = con.sql(queries.ORACLES[name]).df()[list(own.columns)]
     order = list(own.columns)
