@@ -16,17 +16,16 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from swathe.llm.common import texts
+from swathe.llm.common import mapped, texts
 
 END = "</w>"
 CACHED_WORDS = 1 << 18
@@ -206,45 +205,41 @@ def transducer(path: str) -> Transducer:
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``ids`` (array of int): the tokens of every text."""
-    def run(batches):
+    def start():
         coder = transducer(path)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"],
-                                "ids": [np.fromiter(coder.encode(t), "int32") for t in batch["text"]]})
-    return texts(docs).mapInPandas(run, "doc_id long, ids array<int>")
+        return lambda values: [[np.fromiter(coder.encode(t), "int32") for t in values]]
+    return mapped(texts(docs), ["doc_id"], start, "ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``text``: what the ids of ``encode_documents`` spell."""
-    def run(batches):
+    def start():
         coder = transducer(path)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"],
-                                "text": ["".join(coder.decode(map(int, ids))) for ids in batch["ids"]]})
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+        return lambda values: [["".join(coder.decode(ids)) for ids in values]]
+    return mapped(encoded, ["doc_id"], start, "text string", column="ids")
 
 
-def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id``, ``n_tokens``, digests of ids and decoded text, in one pass over each text."""
-    def digest(coder: Transducer, text: str) -> tuple[int, str, str]:
-        packed, shown, count = hashlib.sha256(), hashlib.sha256(), 0
+def encoding_digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """``doc_id``, ``n_tokens``, digests of ids and decoded text, in one pass over each text, and the
+    ``ids`` themselves if asked for."""
+    def digest(coder: Transducer, text: str) -> tuple:
+        packed, shown, count, ids = hashlib.sha256(), hashlib.sha256(), 0, array("i")
 
         def stream():
             nonlocal count
             for part in blocks(coder.encode(text)):
                 count += len(part)
+                if with_ids:
+                    ids.extend(part)
                 packed.update(np.array(part, "<u4").tobytes())
                 yield part
         for step in coder.decode_blocks(stream()):
             shown.update(step.encode())
-        return count, packed.hexdigest(), shown.hexdigest()
+        found = count, packed.hexdigest(), shown.hexdigest()
+        return (*found, np.frombuffer(ids, "int32")) if with_ids else found
 
-    def run(batches):
+    def start():
         coder = transducer(path)
-        for batch in batches:
-            rows = [digest(coder, t) for t in batch["text"]]
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return texts(docs).mapInPandas(run, schema)
+        return lambda values: list(zip(*(digest(coder, t) for t in values), strict=True))
+    return mapped(texts(docs), ["doc_id"], start,
+                  "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

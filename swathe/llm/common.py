@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from swathe.session import shared_dir
 
@@ -47,9 +52,27 @@ _WORD_BASE = np.uint64(0xD1342543DE82EF95)
 _POWERS = np.cumprod(np.full(64, _WORD_BASE))
 
 
+SEGMENT = 4 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
 def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash per word of ``split_words``, straight from the bytes of the text."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), "uint8")
+    """A 64-bit hash per word of ``split_words``, straight from the bytes of the text; a long text is
+    taken in segments that end at a space."""
+    data = text.encode("utf-8", "surrogatepass")
+    if len(data) <= SEGMENT:
+        return _segment_hashes(data)
+    parts, at = [], 0
+    while at < len(data):
+        space = _SPACE.search(data, at + SEGMENT)
+        past = space.end() if space else len(data)
+        parts.append(_segment_hashes(data[at:past]))
+        at = past
+    return np.concatenate(parts)
+
+
+def _segment_hashes(segment: bytes) -> np.ndarray:
+    data = np.frombuffer(segment, "uint8")
     solid = (data != 32) & ((data < 9) | (data > 13))
     letters = data[solid]
     if not len(letters):
@@ -65,10 +88,38 @@ def word_hashes(text: str) -> np.ndarray:
     return mix(sums + sizes.astype("uint64"))
 
 
+def mapped(rows: DataFrame, kept: list[str], start: Callable[[], Callable], added: str, column: str = "text") -> DataFrame:
+    """``kept`` columns as they are, followed by ``added`` ones, for every row.
+
+    ``start()`` is called once per task and returns a function from the values of ``column`` in a batch to
+    a list of values per added column. Kept columns stay Arrow arrays, so ids and nulls are not touched.
+    """
+    fields = to_arrow_schema(StructType.fromDDL(added))
+    names = [*kept, *fields.names]
+
+    def run(batches):
+        work = start()
+        for batch in batches:
+            if batch.num_rows:
+                new = work(batch.column(column).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in kept),
+                     *(pa.array(v, f.type) for v, f in zip(new, fields, strict=True))], names)
+    schema = StructType([*(rows.schema[c] for c in kept), *StructType.fromDDL(added)])
+    return rows.select(*dict.fromkeys([*kept, column])).mapInArrow(run, schema)
+
+
 def words_column(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id falls in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % n, F.lit(0)).cast("int")

@@ -3,19 +3,21 @@
 Phrases and notice templates form one automaton over words. A text streams through it and yields
 matching statistics: at each word the longest stretch ending there that stands in some template.
 A phrase is found where it is a suffix of that stretch. Long maximal stretches are chained, per
-template and in template order, into spans; a span that covers enough of its template adds a label.
+template, by weight: a chain follows the order of template and text, leaves gaps of at most the
+template's length, and covers as many words as it can (ties: the earlier stretch before). A chain that
+covers enough of its template adds a label.
 
-Words are lower-cased (A-Z). Null and empty texts have no words, no labels and score 0.
+Words are lower-cased (A-Z). Null and empty texts have no words, no labels and score 0. Repeated rows
+are judged alike, every place of a repeated phrase counts, and texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from swathe.llm.common import ASCII_LOWER, texts
+from swathe.llm.common import ASCII_LOWER, mapped, texts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 # Phrase, label.
@@ -142,18 +144,28 @@ class LicenseAutomaton:
         """(template, first word, past, share covered): best chains in template and text order."""
         spans = []
         for t in sorted({s[0] for s in stretches}):
+            own = sorted({s[1:] for s in stretches if s[0] == t}, key=lambda s: (s[1], s[0]))
             size = len(self.templates[t][0])
-            run, end_t, end_x, covered = [], 0, 0, 0
-            for _, i, x, n in sorted((s for s in stretches if s[0] == t), key=lambda s: s[2]):
-                if run and i >= end_t and x - end_x <= size:
-                    covered += n
-                else:
-                    if run:
-                        spans.append((t, run[0], end_x, covered / size))
-                    run, covered = [x], n
-                end_t, end_x = i + n, x + n
-            spans.append((t, run[0], end_x, covered / size))
-        return spans
+            weight, before, oldest = [], [], 0
+            for j, (i, x, n) in enumerate(own):
+                # Stretches are at most as long as the template, so none before ``oldest`` is near enough.
+                while own[oldest][1] < x - 2 * size:
+                    oldest += 1
+                fits = [(weight[k], -k) for k in range(oldest, j)
+                        if own[k][0] + own[k][2] <= i and 0 <= x - own[k][1] - own[k][2] <= size]
+                most, k = max(fits, default=(0, 1))
+                weight.append(most + n)
+                before.append(-k)
+            used = [False] * len(own)
+            # Heaviest chains first; a chain ends where it meets one that was taken.
+            for last in sorted(range(len(own)), key=lambda j: (-weight[j], j)):
+                j, covered, first = last, 0, None
+                while j >= 0 and not used[j]:
+                    used[j] = True
+                    covered, first, j = covered + own[j][2], own[j][1], before[j]
+                if first is not None:
+                    spans.append((t, first, own[last][1] + own[last][2], covered / size))
+        return sorted(spans)
 
     def labels(self, text: str) -> tuple:
         words = WORD.findall(text.translate(ASCII_LOWER))
@@ -168,19 +180,12 @@ class LicenseAutomaton:
                 [{"label": self.templates[t][1], "first": a, "past": b, "share": c} for t, a, b, c in spans])
 
 
-COLUMNS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
-
-
 def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """One row per text with words, places, labels, score and covered template ``spans``."""
-    def run(batches):
+    def start():
         automaton = LicenseAutomaton(phrases, templates)
-        for batch in batches:
-            out = pd.DataFrame([automaton.labels(t) for t in batch["text"]], columns=COLUMNS)
-            for name in ("first_word", "last_word"):
-                out[name] = out[name].astype("Int64")
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
-    return texts(docs).mapInPandas(
-        run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, "
-             "labels string, score double, spans array<struct<label:string,first:long,past:long,share:double>>")
+        return lambda values: list(zip(*map(automaton.labels, values), strict=True))
+    return mapped(
+        texts(docs), ["doc_id"], start,
+        "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
+        "score double, spans array<struct<label:string,first:long,past:long,share:double>>")

@@ -6,20 +6,29 @@ coordinate keeps its earliest dart, and the limit doubles until none is empty. T
 coordinate with the chance of their weighted Jaccard similarity. Weights are 1 per distinct shingle by
 default (then it is the Jaccard similarity of sets), or counts.
 
-Equal texts are collapsed first. Signatures are cut in bands; a band value with few holders is joined
-in full, one with many links its holders to the first, and joins only those that are still in
-different classes afterwards. Every candidate is checked on its exact shingle weights, and
-classes are connected components of verified links, found by rounds of joins.
+Equal texts are collapsed first. Signatures are cut in bands. A band value with at most ``FEW`` holders
+pairs them all. Of a crowded one, all holders meet its hub, the holder whose other band values are
+shared most. Links are verified on exact shingle sets, and their components are the first classes.
+
+What crowded band values still leave apart is found without pairing holders. All holders of one hub
+share a reference text. A holder's residual is what the reference lacks; a pair of similar texts either
+shares a residual shingle out of a prefix whose length follows from the overlap that is missing, or both
+lie almost wholly in the reference. Holders with such a shingle in common meet in small groups, which
+compare only members of different classes and give links alone. Groups beyond ``BLOCK`` are cut in blocks.
 
 A shingle is five words (runs other than space and U+0009 to U+000D); a shorter text is one shingle.
-Null, empty and blank texts and null ids are in no class but their own (a null id: class null).
+Null, empty and blank texts and null ids are in no class but their own (a null id: class null). Rows that
+repeat an id are one document, which is near whatever one of its texts is near. Repeated rows and equal
+texts share a class. Texts of any length are taken whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swathe.llm.common import mix, stored, texts, word_hashes
@@ -28,7 +37,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 COORDINATES = 128
 BAND_ROWS = 4
-FEW = 24
+FEW = 4
+BLOCK = 1024
 # Chances of at most 0, 1, 2, ... darts in a cell of rate one.
 POISSON = np.cumsum([1.0 / np.e / f for f in np.cumprod([1.0, *range(1, 16)])])
 
@@ -100,33 +110,54 @@ def _sketches(weighted: bool):
                     keys = np.zeros(len(bands), "uint64")
                     for j in range(BAND_ROWS):
                         keys = mix(keys ^ bands[:, j]) + np.uint64(j + 1)
-                    # 32 bits per shingle suffice for the check and halve what it moves.
-                    packed = np.repeat(elements >> np.uint64(32), counts if weighted else 1)
-                    rows.append((doc_id, keys.view("int64"), packed.astype("<u4").tobytes()))
+                    rows.append((doc_id, keys.view("int64"), packed_set(elements, counts if weighted else None)))
             yield pd.DataFrame(rows, columns=["doc_id", "keys", "bag"])
     return run
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard similarity of two sorted bags."""
-    (x, n), (y, m) = (np.unique(np.frombuffer(s, "<u4"), return_counts=True) for s in (a, b))
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    shared = np.minimum(n[i], m[j]).sum()
-    return float(shared / (n.sum() + m.sum() - shared))
+def packed_set(elements: np.ndarray, counts: np.ndarray | None) -> bytes:
+    """Sorted hashes of 32 bits; an element that counts k times stands for k of them, so that the weighted
+    similarity of bags is the plain one of these sets."""
+    if counts is not None:
+        layer = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        elements = mix(np.repeat(elements, counts) + layer.astype("uint64") * np.uint64(0xD1B54A32D192ED03))
+    return np.unique((elements >> np.uint64(32)).astype("<u4")).tobytes()
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Common entries of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    place = np.searchsorted(b, a)
+    return int((b[np.minimum(place, len(b) - 1)] == a).sum()) if len(b) else 0
+
+
+def least_overlap(at_least: float, size: int) -> int:
+    """Entries that a set of this size shares with any set as similar as ``at_least``."""
+    return math.ceil(at_least * size - 1e-9)
+
+
+def similar(shared: int, size_a: int, size_b: int, at_least: float) -> bool:
+    return shared >= at_least * (size_a + size_b - shared) - 1e-9
+
+
+def _sets(packed) -> list[np.ndarray]:
+    return [np.frombuffer(b, "<u4") for b in packed]
+
+
+def _with_bags(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    one, two = (bags.select(F.col("doc_id").alias(name), F.col("bag").alias(f"bag_{name}")) for name in "ab")
+    return pairs.join(one, "a").join(two, "b")
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, at_least: float) -> DataFrame:
     def run(batches):
         for batch in batches:
-            close = [similarity(a, b) >= at_least for a, b in zip(batch["bag_a"], batch["bag_b"], strict=True)]
+            close = [min(len(a), len(b)) >= at_least * max(len(a), len(b)) - 1e-9
+                     and similar(overlap(a, b), len(a), len(b), at_least)
+                     for a, b in zip(_sets(batch["bag_a"]), _sets(batch["bag_b"]), strict=True)]
             yield batch.loc[close, ["a", "b"]]
-    # Sizes decide many pairs before the bags are compared.
-    size = F.length("bag")
-    one = bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a"), size.alias("n_a"))
-    two = bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b"), size.alias("n_b"))
-    both = pairs.join(one, "a").join(two, "b").where(
-        F.least("n_a", "n_b") >= at_least * F.greatest("n_a", "n_b"))
-    return both.select("a", "b", "bag_a", "bag_b").mapInPandas(run, "a long, b long")
+    return _with_bags(pairs, bags).select("a", "b", "bag_a", "bag_b").mapInPandas(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -157,18 +188,89 @@ def components(links: DataFrame) -> DataFrame:
     return members.select(F.col("u").alias("doc_id"), F.col("v").alias("class_id")).unionByName(roots).distinct()
 
 
-def _first_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidates of the first round, and the crowded buckets."""
-    window = Window.partitionBy("band", "key").orderBy("doc_id")
-    sized = buckets.groupBy("band", "key").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+def _first_pairs(sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates of the first round, and ``hub, hub_pop, doc_id`` of the crowded band values."""
+    buckets = sketch.select("doc_id", F.posexplode("keys").alias("band", "key")).distinct()
+    sized = buckets.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     held = stored(buckets.join(sized, ["band", "key"]), "buckets")
-    few, many = held.where(F.col("n") <= FEW), held.where(F.col("n") > FEW)
-    ids = few.groupBy("band", "key").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
-    pairs = ids.select(F.posexplode("ids").alias("i", "a"), "ids").select(
+    few = held.where(F.col("n") <= FEW).groupBy("band", "key").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    pairs = few.select(F.posexplode("ids").alias("i", "a"), "ids").select(
         "a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b"))
-    star = many.select(F.col("first_id").alias("a"), F.col("doc_id").alias("b"))
-    return pairs.unionByName(star).where("a <> b").distinct(), many
+    popularity = held.groupBy("doc_id").agg(F.sum("n").alias("pop"))
+    many = held.where(F.col("n") > FEW).join(popularity, "doc_id")
+    first = F.min(F.struct((-F.col("pop")).alias("less"), "doc_id")).alias("first")
+    hubs = many.groupBy("band", "key").agg(first).select(
+        "band", "key", F.col("first.doc_id").alias("hub"), (-F.col("first.less")).alias("hub_pop"))
+    stars = stored(many.join(hubs, ["band", "key"]).select("hub", "hub_pop", "doc_id").distinct(), "stars")
+    spokes = stars.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
+    return pairs.unionByName(spokes).where("a <> b").distinct(), stars
+
+
+def _residual_links(stars: DataFrame, classes: DataFrame, bags: DataFrame, at_least: float) -> DataFrame:
+    """Links between holders of crowded band values that are in different classes so far."""
+    best = F.min(F.struct((-F.col("hub_pop")).alias("less"), "hub")).alias("best")
+    reference = stars.groupBy("doc_id").agg(best).select(F.col("doc_id").alias("hub"), F.col("best.hub").alias("ref"))
+    members = stars.join(reference, "hub").select("ref", "doc_id").distinct().join(classes, "doc_id", "left").select(
+        "ref", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    mixed = members.groupBy("ref").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high")
+    members = stored(members.join(mixed.select("ref"), "ref"), "members")
+
+    def residuals(batches):
+        for batch in batches:
+            rows = []
+            for ref, doc, own, base in zip(batch["b"], batch["a"], *map(_sets, (batch["bag_a"], batch["bag_b"])), strict=True):
+                place = np.minimum(np.searchsorted(base, own), len(base) - 1)
+                rest = own[base[place] != own]
+                need = least_overlap(at_least, len(own)) - (len(own) - len(rest))
+                # -1 is no shingle: the group of those that may be near another inside the reference.
+                keys = [-1, *rest.tolist()] if need <= 0 else rest[:max(0, len(rest) - need + 1)].tolist()
+                rows.append((ref, doc, keys))
+            yield pd.DataFrame(rows, columns=["ref", "doc_id", "keys"])
+    pairs = members.select(F.col("doc_id").alias("a"), F.col("ref").alias("b"))
+    listed = _with_bags(pairs, bags).select("a", "b", "bag_a", "bag_b").mapInPandas(
+        residuals, "ref long, doc_id long, keys array<long>")
+    shared = listed.select("ref", "doc_id", F.explode("keys").alias("shingle")).distinct().join(
+        members, ["ref", "doc_id"])
+    groups = shared.groupBy("ref", "shingle").agg(
+        F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.count("*").alias("n")).where(
+        "low <> high").select("ref", "shingle", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    met = shared.join(groups, ["ref", "shingle"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
+        {"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    met = stored(met.select("ref", "shingle", "low", "high", "own", "doc_id", "class_id"), "met")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
+        return links_between(group["doc_id"].to_numpy(), group["class_id"].to_numpy(), _sets(group["bag"]), at_least,
+                             None if low == high else group["own"].to_numpy())
+    return met.join(bags, "doc_id").groupBy("ref", "shingle", "low", "high").applyInPandas(
+        compare, "a long, b long").distinct()
+
+
+def links_between(ids: np.ndarray, classes: np.ndarray, sets: list[np.ndarray], at_least: float,
+                  side: np.ndarray | None = None) -> pd.DataFrame:
+    """Links that join different classes, one for each pair of classes that belongs together; with ``side``,
+    members of the same side are not compared."""
+    found = []
+    sizes = np.array([len(s) for s in sets])
+    joined = np.concatenate(sets) if sets else np.empty(0, "<u4")
+    starts = np.cumsum(sizes) - sizes
+    classes = classes.copy()
+    for i in range(len(sets)):
+        other = (classes != classes[i]) & (np.minimum(sizes, sizes[i]) >= at_least * np.maximum(sizes, sizes[i]) - 1e-9)
+        other[:i + 1] = False
+        if side is not None:
+            other &= side != side[i]
+        if not other.any():
+            continue
+        place = np.minimum(np.searchsorted(sets[i], joined), sizes[i] - 1)
+        shared = np.add.reduceat((sets[i][place] == joined).astype("int64"), starts)
+        close = other & (shared >= at_least * (sizes + sizes[i] - shared) - 1e-9)
+        for j in np.flatnonzero(close):
+            if classes[j] != classes[i]:
+                found.append((ids[i], ids[j]))
+                classes[classes == classes[j]] = classes[i]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
 def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
@@ -180,23 +282,16 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY, weighted: boo
     first = stored(keyed.groupBy("copy").agg(F.min("doc_id").alias("rep")), "copies")
     reps = first.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct()
     alone = keyed.where("doc_id is not null").select("doc_id", "text").join(reps, "doc_id", "left_semi")
-    alone = alone.mapInPandas(_sketches(weighted), "doc_id long, keys array<long>, bag binary")
-    sketch = stored(alone, "sketches")
-    buckets = sketch.select("doc_id", F.posexplode("keys").alias("band", "key")).distinct()
-    bags = sketch.select("doc_id", "bag").dropDuplicates(["doc_id"])
-    pairs, many = _first_pairs(buckets)
-    links = stored(_verified(pairs, bags, at_least), "verified")
+    sketch = stored(alone.mapInPandas(_sketches(weighted), "doc_id long, keys array<long>, bag binary"), "sketches")
+    bags = sketch.select("doc_id", "bag")
+    pairs, stars = _first_pairs(sketch)
+    links = _verified(pairs, bags, at_least)
+    # Rows that repeat an id with another text tie that text's class to their own.
+    tied = keyed.where("doc_id is not null").join(first, "copy").where("doc_id <> rep").join(
+        reps, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    links = stored(links.unionByName(tied), "verified")
     classes = stored(components(links), "classes")
-    # Crowded buckets: holders that are still in another class than the first are compared with all.
-    placed = many.join(classes, "doc_id", "left").select(
-        "band", "key", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "first_id")
-    home = placed.where("doc_id = first_id").select("band", "key", F.col("class_id").alias("home"))
-    placed = stored(placed.join(home, ["band", "key"]), "crowded")
-    apart = placed.where("class_id <> home").select("band", "key", F.col("doc_id").alias("a"), F.col("class_id").alias("class_a"))
-    rest = apart.join(placed.select("band", "key", F.col("doc_id").alias("b"), "class_id"), ["band", "key"])
-    rest = rest.where("class_a <> class_id").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = stored(_verified(rest, bags, at_least), "verified")
+    more = stored(_residual_links(stars, classes, bags, at_least), "verified")
     if not more.isEmpty():
         classes = stored(components(links.unionByName(more)), "classes")
     final = first.join(classes, first["rep"] == classes["doc_id"], "left").select(
@@ -205,7 +300,8 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY, weighted: boo
 
 
 def keep_first(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
-    """The documents, all columns kept, that are the smallest id of their class; null ids stay."""
+    """The documents, all columns kept, that are the smallest id of their class. Null ids stay, and rows
+    that repeat an id stay or go together."""
     classes = near_duplicates(docs, at_least)
     gone = stored(classes.where("doc_id <> class_id").select("doc_id").distinct(), "copies_gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -7,7 +7,8 @@ quotation marks, or beside words that report speech, it weighs less. The score i
 function of the summed evidence, calibrated on the training texts.
 
 Null and empty texts hold no terms and score the low base rate. Without toxic training labels the
-lexicon is empty and every text scores that rate. Repeated rows score alike.
+lexicon is empty and every text scores that rate. Repeated rows score alike; a text of any length is
+read whole, its evidence adds up.
 """
 
 from __future__ import annotations
@@ -16,11 +17,10 @@ import math
 import re
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swathe.llm.common import fold, stored, texts
+from swathe.llm.common import fold, free_name, mapped, stored, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 FIT_PER_CLASS = 4000      # labelled texts per class that the fit takes, the smallest by hash
@@ -215,22 +215,31 @@ def calibrate(pairs: list[tuple[float, int]], steps: int = 60) -> tuple[float, f
     return max(slope, 0.0), offset
 
 
-def _evidence(docs: DataFrame, weights: dict[str, float], *kept: str) -> DataFrame:
+_TRIES: dict[int, LexiconTrie] = {}
+
+
+def worker_trie(weights: dict[str, float]) -> LexiconTrie:
+    """One trie, with the words it has looked up, per Python worker and lexicon."""
+    key = hash(tuple(sorted(weights.items())))
+    if key not in _TRIES:
+        _TRIES.clear()
+        _TRIES[key] = LexiconTrie(weights)
+    return _TRIES[key]
+
+
+def _evidence(docs: DataFrame, weights: dict[str, float], *kept: str, name: str = "evidence") -> DataFrame:
+    """``kept`` columns beside the evidence of each text (null: none)."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def run(batches):
-        trie = LexiconTrie(shared.value)
-        for batch in batches:
-            out = batch[list(kept)].copy()
-            out["evidence"] = [trie.evidence(t) for t in batch["text"]]
-            yield out
-    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*kept, "text").mapInPandas(run, f"{schema}, evidence double")
+    def start():
+        trie = worker_trie(shared.value)
+        return lambda values: [[trie.evidence(t or "") for t in values]]
+    return mapped(docs, list(kept), start, f"`{name}` double")
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every text; labels are learned from two folds of
-    three, and from at most ``FIT_PER_CLASS`` texts per class."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float, float]:
+    """(lexicon, slope, offset), learned from two folds of three, and from at most ``FIT_PER_CLASS`` texts
+    per class."""
     plain = texts(docs)
     marks = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(
         "doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -245,15 +254,27 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
         pairs = [(r["evidence"], r["toxic"]) for r in _evidence(train, weights, "toxic").collect()]
     finally:
         train.unpersist()
-    slope, offset = calibrate(pairs) if pairs else (0.0, -3.0)
-    raw = 1 / (1 + F.exp(-(F.log1p("evidence") * slope + offset)))
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw))
-    return _evidence(plain, weights, "doc_id").select(
+    return weights, *(calibrate(pairs) if pairs else (0.0, -3.0))
+
+
+def _score(evidence: Column, slope: float, offset: float) -> Column:
+    raw = 1 / (1 + F.exp(-(F.log1p(evidence) * slope + offset)))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every text."""
+    weights, slope, offset = fit(docs, labels)
+    score = _score(F.col("evidence"), slope, offset)
+    return _evidence(texts(docs), weights, "doc_id").select(
         "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), score.alias("score"),
         (score >= threshold).cast("int").alias("predicted"))
 
 
 def keep_harmless(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents, all columns kept, that are not predicted toxic; null ids stay."""
-    found = score_documents(docs, labels, threshold).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(stored(found, "toxic"), "doc_id", "left_anti").select(*docs.columns)
+    """The documents, all columns kept, that are not predicted toxic. Every row is judged by its own text,
+    also where ids are null or repeat."""
+    weights, slope, offset = fit(docs, labels)
+    name = free_name("evidence", docs.columns)
+    judged = _evidence(docs, weights, *docs.columns, name=name)
+    return judged.where(_score(F.col(name), slope, offset) < threshold).drop(name)

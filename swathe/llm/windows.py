@@ -1,13 +1,15 @@
 """Substring de-duplication over fixed windows of words (operator 10).
 
-Every window of ``length`` words gets a Rabin-Karp hash of 64 bits. Texts that are equal as a whole
-are represented by their smallest id, since a copy repeats exactly the windows of that document. Each
-task lists the distinct windows of a batch of documents once, with the documents that hold them, so
-a window shared by very many documents reaches its bucket once per batch. A bucket of hashes finds
-the first document of each window; later holders get it back and merge hits into removal intervals.
+Every window of ``length`` words gets a Rabin-Karp hash of 96 bits (two polynomials over the words'
+hashes). A task takes its documents in chunks, in the order of their ids. A window that an earlier
+document of the chunk holds is settled there; of all others the first holder alone goes on, so that a
+window shared by very many documents is sent once per chunk. Buckets of hashes find the smallest id
+of each window and return the places of later holders. Places travel as one byte each, and the texts
+are shuffled once, when they meet the places that they lose.
 
 A word goes if a window over it also starts in a document with a smaller id. Nulls are empty texts,
-and rows that repeat an id are judged alike. A null id is never earlier than another and is left whole.
+and rows that repeat an id are judged by it alike, each on its own text. A null id is never earlier than
+another and is left whole. An empty table gives no rows; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -16,27 +18,34 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from swathe.llm.common import split_words, stored, texts, word_hashes
+from swathe.llm.common import free_name, split_words, texts, word_hashes
 
 LENGTH = 13
-BASE = np.uint64(0x9E3779B97F4A7C15)
+BASES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 MIX = np.uint64(0xD6E8FEB86659FD93)
-BUCKET_CHARS = 64 << 20
+CHUNK = 2 << 20           # windows of the documents that a task settles among themselves
+BUCKET_CHARS = 8 << 20
+LEAST_BUCKETS = 64
 
 
-def window_hashes(text: str, length: int = LENGTH) -> np.ndarray:
-    """One hash per start: a polynomial over the words' hashes, modulo 2^64, then mixed."""
+def window_hashes(text: str, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes per start, of 64 and 32 bits: polynomials over the words' hashes, modulo 2^64, then mixed."""
     codes = word_hashes(text)
-    n = len(codes) - length + 1
-    if n <= 0:
-        return np.empty(0, "uint64")
-    rolled = np.zeros(n, "uint64")
-    for k in range(length):
-        rolled = rolled * BASE + codes[k:k + n]
-    return (rolled ^ (rolled >> np.uint64(32))) * MIX
+    n = max(0, len(codes) - length + 1)
+    found = []
+    for base in BASES:
+        rolled = np.zeros(n, "uint64")
+        for k in range(length if n else 0):
+            rolled *= base
+            rolled += codes[k:k + n]
+        rolled ^= rolled >> np.uint64(32)
+        found.append(rolled * MIX)
+    return found[0], (found[1] >> np.uint64(32)).astype("uint32")
 
 
 def covered(hit: np.ndarray, n_words: int, length: int = LENGTH) -> np.ndarray:
@@ -54,121 +63,230 @@ def removal_intervals(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
+# -- places as bytes ------------------------------------------------------------------
+
+def pack_places(places: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Rising places as steps in base 255: full bytes of 255, then the rest. ``first`` marks where a new
+    document starts."""
+    steps = np.diff(places, prepend=0)
+    steps[first] = places[first]
+    full = steps // 255
+    out = np.full(len(steps) + int(full.sum()), 255, "uint8")
+    out[np.cumsum(full + 1) - 1] = steps - 255 * full
+    return out
+
+
+def unpack_places(packed: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of documents that hold ``counts`` each."""
+    total = np.cumsum(packed, dtype="int64")[packed != 255]
+    starts = np.cumsum(counts) - counts
+    before = np.where(starts > 0, total[np.maximum(starts, 1) - 1] if len(total) else 0, 0)
+    return total - np.repeat(before, counts)
+
+
+def _runs(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal windows stand together, otherwise as given, and where each run begins."""
+    order = np.argsort(high, kind="stable")
+    new = np.ones(len(order), bool)
+    same = high[order[1:]] == high[order[:-1]]
+    if (low[order[1:]] != low[order[:-1]])[same].any():
+        order = np.lexsort((low, high))
+        same = (high[order[1:]] == high[order[:-1]]) & (low[order[1:]] == low[order[:-1]])
+    new[1:] = ~same
+    return order, new
+
+
+def _by_document(chosen: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, places each, packed places) of the chosen entries, which stand by document and place."""
+    owner, place = owner[chosen], place[chosen]
+    first = np.ones(len(owner), bool)
+    first[1:] = owner[1:] != owner[:-1]
+    starts = np.flatnonzero(first)
+    return owner[starts], np.diff(np.append(starts, len(owner))), pack_places(place, first)
+
+
+LISTED = ("bucket int, ids binary, keys binary, counts binary, places binary, high binary, low binary, "
+          "late_ids binary, late_keys binary, late_counts binary, late_places binary")
+
+
 def _listing(length: int, buckets: int):
-    """Per batch and bucket: the hashes, sorted, beside the ids of the documents that hold them."""
+    """Per chunk of documents and bucket: the windows whose first holder in the chunk is that document,
+    and the places that are settled within the chunk."""
+    names = [c.split(" ")[0] for c in LISTED.split(", ")]
+
+    def settle(ids, keys, hashes):
+        by_id = np.argsort(ids, kind="stable")
+        ids, keys = ids[by_id], keys[by_id]
+        hashes = [hashes[i] for i in by_id]
+        sizes = np.array([len(h[0]) for h in hashes])
+        high, low = (np.concatenate([h[i] for h in hashes]) for i in (0, 1))
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order, new = _runs(high, low)
+        first = ids[owner[order[np.flatnonzero(new)]]][np.cumsum(new) - 1]
+        late = np.empty(len(order), bool)
+        late[order] = ids[owner[order]] > first
+        # Late entries of a document go to one bucket, the others to that of their hash.
+        spread = (keys.astype("uint64") * MIX >> np.uint64(32))[owner]
+        bucket = ((np.where(late, spread, high >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype("int32")
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)):
+            here = order[cuts[b]:cuts[b + 1]]
+            row = [int(b)]
+            for chosen in (here[~late[here]], here[late[here]]):
+                docs, counts, packed = _by_document(chosen, owner, place)
+                row += [ids[docs].tobytes(), keys[docs].tobytes(), counts.astype("uint32").tobytes(), packed.tobytes()]
+                if len(row) == 5:
+                    row += [high[chosen].tobytes(), low[chosen].tobytes()]
+            yield row
+
     def run(batches):
+        ids, keys, hashes, total = [], [], [], 0
+
+        def flush():
+            rows = list(settle(np.array(ids, "int64"), np.array(keys, "int64"), hashes))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()),
+                 *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, len(names)))], names)
         for batch in batches:
-            per_doc = [np.unique(window_hashes(t, length)) for t in batch["text"]]
-            if not sum(map(len, per_doc)):
-                continue
-            ids = batch["doc_id"].to_numpy("int64")
-            owner = np.repeat(np.arange(len(ids), dtype="uint16"), [len(h) for h in per_doc])
-            hashes = np.concatenate(per_doc)
-            order = np.argsort(hashes, kind="stable")
-            hashes, owner = hashes[order], owner[order]
-            bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype="uint64"))
-            full = np.flatnonzero(np.diff(cuts))
-            yield pd.DataFrame({
-                "bucket": full.astype("int32"),
-                "hashes": [hashes[cuts[b]:cuts[b + 1]].tobytes() for b in full],
-                "owners": [owner[cuts[b]:cuts[b + 1]].tobytes() for b in full],
-                "ids": [ids.tobytes() for _ in full]})
+            for doc_id, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text")), strict=True):
+                found = window_hashes(text, length)
+                if len(found[0]):
+                    ids.append(doc_id)
+                    keys.append(key)
+                    hashes.append(found)
+                    total += len(found[0])
+                if total >= CHUNK:
+                    yield flush()
+                    ids, keys, hashes, total = [], [], [], 0
+        if total:
+            yield flush()
     return run
 
 
 def _later_holders(group: pd.DataFrame) -> pd.DataFrame:
-    """Documents of one bucket with the windows that an earlier document holds."""
-    parts = [np.frombuffer(b, "uint64") for b in group["hashes"]]
-    docs = [np.frombuffer(i, "int64")[np.frombuffer(o, "uint16")]
-            for i, o in zip(group["ids"], group["owners"], strict=True)]
-    hashes, docs = np.concatenate(parts), np.concatenate(docs)
-    order = np.lexsort((docs, hashes))
-    hashes, docs = hashes[order], docs[order]
-    new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-    first = docs[np.flatnonzero(new)][np.cumsum(new) - 1]
-    late = docs > first
-    hashes, docs = hashes[late], docs[late]
-    order = np.argsort(docs, kind="stable")
-    hashes, docs = hashes[order], docs[order]
-    ids, cuts = np.unique(docs, return_index=True)
-    return pd.DataFrame({"doc_id": ids, "late": [h.tobytes() for h in np.split(hashes, cuts[1:])]
-                         if len(ids) else []})
+    """``doc_id, key, late``: the packed places of the windows that an earlier document holds."""
+    joined = lambda name, kind: np.frombuffer(b"".join(group[name]), kind)
+    ids, keys, counts = joined("ids", "int64"), joined("keys", "int64"), joined("counts", "uint32").astype("int64")
+    # Documents of a row follow one another, so that rows joined together read like one.
+    place = unpack_places(joined("places", "uint8"), counts)
+    high, low = joined("high", "uint64"), joined("low", "uint32")
+    owner = np.repeat(np.arange(len(ids)), counts)
+    order, new = _runs(high, low)
+    starts = np.flatnonzero(new)
+    late = np.zeros(len(order), bool)
+    if len(order):
+        own = ids[owner[order]]
+        late[order] = own > np.minimum.reduceat(own, starts)[np.cumsum(new) - 1]
+    found = [(ids, keys, *_by_document(np.flatnonzero(late), owner, place))]
+    settled = joined("late_ids", "int64"), joined("late_keys", "int64"), joined("late_counts", "uint32").astype("int64")
+    found.append((*settled[:2], np.arange(len(settled[0])), settled[2], joined("late_places", "uint8")))
+    out = []
+    for ids, keys, docs, counts, packed in found:
+        ends = np.flatnonzero(packed != 255)[np.cumsum(counts) - 1] + 1 if len(docs) else []
+        out.append(pd.DataFrame({
+            "doc_id": ids[docs], "key": keys[docs],
+            "late": [p.tobytes() for p in np.split(packed, ends[:-1])] if len(docs) else []}))
+    return pd.concat(out)
 
 
 def bucket_count(docs: DataFrame) -> int:
     """Buckets in step with the volume of text, so that one fits in a task at any size."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    return max(8, -(-int(chars) // BUCKET_CHARS) * 4)
+    return max(LEAST_BUCKETS, -(-int(chars) // BUCKET_CHARS))
 
 
-def _removals(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The texts, and per later document what it repeats: the smallest id of an equal text, or the
-    hashes of windows that an earlier document holds."""
-    plain = texts(docs)
-    keyed = plain.where("doc_id is not null").select("doc_id", F.sha2("text", 256).alias("copy"))
-    first = keyed.groupBy("copy").agg(F.min("doc_id").alias("first_id"))
-    later = stored(keyed.join(first, "copy").where("doc_id > first_id").distinct(), "later_copies")
-    firsts = plain.where("doc_id is not null").withColumn("copy", F.sha2("text", 256)).join(
-        later.select("doc_id", "copy"), ["doc_id", "copy"], "left_anti")
-    listed = firsts.select("doc_id", "text").mapInPandas(
-        _listing(length, bucket_count(plain)), "bucket int, hashes binary, owners binary, ids binary")
-    late = listed.groupBy("bucket").applyInPandas(_later_holders, "doc_id long, late binary")
-    late = late.groupBy("doc_id").agg(F.collect_list("late").alias("late"))
-    return plain, later.select("doc_id", "copy", F.lit(True).alias("again")), late
+def late_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``doc_id, key, late``: lists of packed places of windows that start in an earlier document, by id
+    and hash of the text."""
+    plain = texts(docs).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("key"), "text")
+    listed = plain.mapInArrow(_listing(length, bucket_count(plain)), LISTED)
+    late = listed.groupBy("bucket").applyInPandas(_later_holders, "doc_id long, key long, late binary")
+    return late.groupBy("doc_id", "key").agg(F.collect_list("late").alias("late"))
+
+
+def _removed(text: str, late: list[bytes] | None, length: int) -> tuple[list[str], np.ndarray]:
+    """The words, and which of them go."""
+    words = split_words(text)
+    hit = np.zeros(max(0, len(words) - length + 1), bool)
+    for part in late or ():
+        packed = np.frombuffer(part, "uint8")
+        hit[unpack_places(packed, np.array([np.count_nonzero(packed != 255)]))] = True
+    return words, covered(hit, len(words), length)
+
+
+def _kept(words: list[str], mask: np.ndarray) -> str:
+    return " ".join([w for w, gone in zip(words, mask.tolist(), strict=True) if not gone])
+
+
+def _with_places(docs: DataFrame, length: int) -> tuple[DataFrame, str, str]:
+    """The documents, all columns kept, beside their late places; and the names of the two columns added."""
+    key, late = (free_name(n, docs.columns) for n in ("late_key", "late_places"))
+    found = late_places(docs, length).select(
+        F.col("doc_id").alias("found_id"), F.col("key").alias("found_key"), F.col("late").alias(late))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = keyed.join(found, (keyed["doc_id"].cast("long") == found["found_id"]) & (keyed[key] == found["found_key"]), "left")
+    return joined.select(*(keyed[c] for c in docs.columns), found[late]), key, late
 
 
 def mark_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id, copy, n_words, removed, kept_text``: ``removed`` lists the intervals that go, ``copy``
-    is the digest of the text they refer to."""
-    plain, later, late = _removals(docs, length)
+    """``doc_id, n_words, removed, kept_text``: ``removed`` lists the intervals that go."""
+    joined, _, late = _with_places(texts(docs), length)
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc_id, text, copy, again, parts in zip(
-                    batch["doc_id"], batch["text"], batch["copy"], batch["again"], batch["late"], strict=True):
-                words = split_words(text)
-                hit = np.zeros(max(0, len(words) - length + 1), bool)
-                if again is True:
-                    hit[:] = True
-                elif parts is not None and len(hit):
-                    hit = np.isin(window_hashes(text, length),
-                                  np.concatenate([np.frombuffer(p, "uint64") for p in parts]))
-                mask = covered(hit, len(words), length)
+            for text, parts in zip(batch.column("text").to_pylist(), batch.column(late).to_pylist(), strict=True):
+                words, mask = _removed(text, parts, length)
                 spans = [{"first": a, "past": b} for a, b in removal_intervals(mask)]
-                kept = [w for w, gone in zip(words, mask.tolist(), strict=True) if not gone]
-                rows.append((doc_id, copy, len(words), spans, " ".join(kept)))
-            out = pd.DataFrame(rows, columns=["doc_id", "copy", "n_words", "removed", "kept_text"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
-    joined = plain.withColumn("copy", F.sha2("text", 256)).join(later, ["doc_id", "copy"], "left").join(
-        late, "doc_id", "left")
-    schema = ("doc_id long, copy string, n_words long, removed array<struct<first:long,past:long>>, "
-              "kept_text string")
-    return joined.select("doc_id", "text", "copy", "again", "late").mapInPandas(run, schema)
+                rows.append((len(words), spans, _kept(words, mask)))
+            span = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
+            kinds = pa.int64(), span, pa.string()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))],
+                ["doc_id", "n_words", "removed", "kept_text"])
+    schema = "doc_id long, n_words long, removed array<struct<first:long,past:long>>, kept_text string"
+    return joined.mapInArrow(run, schema)
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with their columns; texts that repeat earlier windows keep their other words,
     joined by one space, and ``n_chars`` follows where it exists. Other texts stay as they are."""
-    changed = mark_repeats(docs, length).where(F.size("removed") > 0).select(
-        F.col("doc_id").alias("llm_id"), F.col("copy").alias("llm_copy"), F.col("kept_text").alias("llm_kept"))
-    changed = stored(changed.dropDuplicates(["llm_id", "llm_copy"]), "cut")
-    joined = docs.join(changed, (docs["doc_id"] == changed["llm_id"])
-                       & (F.sha2(docs["text"], 256) == changed["llm_copy"]), "left")
-    new = {"text": F.coalesce("llm_kept", docs["text"])}
+    joined, _, late = _with_places(docs, length)
+    names = docs.columns
+    at = names.index("text")
+    cut = free_name("late_cut", docs.columns)
+
+    def run(batches):
+        for batch in batches:
+            new, changed = [], []
+            for text, parts in zip(batch.column(at).to_pylist(), batch.column(late).to_pylist(), strict=True):
+                words, mask = _removed(text or "", parts, length)
+                changed.append(bool(mask.any()))
+                new.append(_kept(words, mask) if changed[-1] else text)
+            columns = [batch.column(c) for c in names]
+            columns[at] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(changed)], [*names, cut])
+    schema = StructType([*docs.schema, StructField(cut, BooleanType())])
+    out = joined.mapInArrow(run, schema)
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("llm_kept").isNotNull(), F.length("llm_kept").cast(
-            docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
-    return joined.select(*(new.get(c, docs[c]).alias(c) for c in docs.columns))
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col(cut), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["past"] - s["first"])
-    return mark_repeats(docs, length).select(
-        "doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
-
+    joined, _, late = _with_places(texts(docs), length)
 
-def text_digest(words: list[str]) -> str:
-    return hashlib.sha256(" ".join(words).encode()).hexdigest()
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for text, parts in zip(batch.column("text").to_pylist(), batch.column(late).to_pylist(), strict=True):
+                words, mask = _removed(text, parts, length)
+                kept = hashlib.sha256(_kept(words, mask).encode("utf-8", "surrogatepass")).hexdigest()
+                rows.append((len(words), int(mask.sum()), kept))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(
+                    (pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")

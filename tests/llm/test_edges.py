@@ -38,10 +38,12 @@ def test_stages_keep_columns(odd_docs, no_docs, labels, benchmark):
 
 def test_decontamination(odd_docs, benchmark):
     found = decontaminate.contaminated(odd_docs, benchmark)
-    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in found.collect()} == {(6, 1, 0), (7, 1, 0)}
+    # The item without an id is found like any other.
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in found.collect()} == {
+        (6, 1, 0), (7, 1, 0), (1, None, 0), (2, None, 0), (12, None, 0), (None, None, 0)}
     assert decontaminate.contaminated(odd_docs, benchmark.limit(0)).count() == 0
     kept = [r["doc_id"] for r in decontaminate.decontaminate(odd_docs, benchmark).collect()]
-    assert len(kept) == odd_docs.count() - 2 and not {6, 7} & set(kept)
+    assert kept.count(None) == 1 and not {1, 2, 6, 7, 12} & set(kept) and len(kept) == odd_docs.count() - 7
 
 
 def test_windows_and_classes(odd_docs):
