@@ -30,7 +30,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encoding_digests(docs, public_tokenizers.path(TOKENIZER))
+    return bpe.encoding_digests(docs, public_tokenizers.path(TOKENIZER), with_ids=True)
 
 
 STAGES = [
@@ -41,7 +41,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-# Signatures, alignment and BPE are beyond SQL; tests compare the stages with brute force.
+# Signatures, alignment and BPE are beyond SQL; tests compare every stage with a plain version.
 ORACLE_SQL = None
 
 
