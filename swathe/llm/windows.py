@@ -1,7 +1,8 @@
 """Substring de-duplication over fixed windows of words (operator 10).
 
-Every window of ``length`` words gets a Rabin-Karp hash of 96 bits (two polynomials over the words'
-hashes). A task takes its documents in chunks, in the order of their ids. A window that an earlier
+Every window of ``length`` words gets two Rabin-Karp hashes (polynomials over the words' hashes). The
+second names its bucket, 56 bits of the first travel with it; as buckets grow with the text, so do the
+bits that tell windows apart (62 at the least, about 79 for 100 TB). A task takes its documents in chunks, in the order of their ids. A window that an earlier
 document of the chunk holds is settled there; of all others the first holder alone goes on, so that a
 window shared by very many documents is sent once per chunk. Buckets of hashes find the smallest id
 of each window and return the places of later holders. Places travel as one byte each, and the texts
@@ -28,6 +29,7 @@ from swathe.llm.common import free_name, split_words, texts, word_hashes
 LENGTH = 13
 BASES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 MIX = np.uint64(0xD6E8FEB86659FD93)
+SENT = 7                  # bytes of a hash that travel
 CHUNK = 2 << 20           # windows of the documents that a task settles among themselves
 BUCKET_CHARS = 8 << 20
 LEAST_BUCKETS = 64
@@ -84,15 +86,11 @@ def unpack_places(packed: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total - np.repeat(before, counts)
 
 
-def _runs(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order in which equal windows stand together, otherwise as given, and where each run begins."""
-    order = np.argsort(high, kind="stable")
+    order = np.argsort(hashes, kind="stable")
     new = np.ones(len(order), bool)
-    same = high[order[1:]] == high[order[:-1]]
-    if (low[order[1:]] != low[order[:-1]])[same].any():
-        order = np.lexsort((low, high))
-        same = (high[order[1:]] == high[order[:-1]]) & (low[order[1:]] == low[order[:-1]])
-    new[1:] = ~same
+    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
     return order, new
 
 
@@ -105,7 +103,7 @@ def _by_document(chosen: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tu
     return owner[starts], np.diff(np.append(starts, len(owner))), pack_places(place, first)
 
 
-LISTED = ("bucket int, ids binary, keys binary, counts binary, places binary, high binary, low binary, "
+LISTED = ("bucket int, ids binary, keys binary, counts binary, places binary, hashes binary, "
           "late_ids binary, late_keys binary, late_counts binary, late_places binary")
 
 
@@ -122,13 +120,13 @@ def _listing(length: int, buckets: int):
         high, low = (np.concatenate([h[i] for h in hashes]) for i in (0, 1))
         owner = np.repeat(np.arange(len(ids)), sizes)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        order, new = _runs(high, low)
+        order, new = _runs(high)
         first = ids[owner[order[np.flatnonzero(new)]]][np.cumsum(new) - 1]
         late = np.empty(len(order), bool)
         late[order] = ids[owner[order]] > first
         # Late entries of a document go to one bucket, the others to that of their hash.
         spread = (keys.astype("uint64") * MIX >> np.uint64(32))[owner]
-        bucket = ((np.where(late, spread, high >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype("int32")
+        bucket = ((np.where(late, spread, low.astype("uint64")) * np.uint64(buckets)) >> np.uint64(32)).astype("int32")
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)):
@@ -138,7 +136,7 @@ def _listing(length: int, buckets: int):
                 docs, counts, packed = _by_document(chosen, owner, place)
                 row += [ids[docs].tobytes(), keys[docs].tobytes(), counts.astype("uint32").tobytes(), packed.tobytes()]
                 if len(row) == 5:
-                    row += [high[chosen].tobytes(), low[chosen].tobytes()]
+                    row.append(high[chosen].view("uint8").reshape(-1, 8)[:, :SENT].tobytes())
             yield row
 
     def run(batches):
@@ -171,9 +169,11 @@ def _later_holders(group: pd.DataFrame) -> pd.DataFrame:
     ids, keys, counts = joined("ids", "int64"), joined("keys", "int64"), joined("counts", "uint32").astype("int64")
     # Documents of a row follow one another, so that rows joined together read like one.
     place = unpack_places(joined("places", "uint8"), counts)
-    high, low = joined("high", "uint64"), joined("low", "uint32")
+    padded = np.zeros((len(place), 8), "uint8")
+    padded[:, :SENT] = joined("hashes", "uint8").reshape(-1, SENT)
+    hashes = padded.view("uint64").ravel()
     owner = np.repeat(np.arange(len(ids)), counts)
-    order, new = _runs(high, low)
+    order, new = _runs(hashes)
     starts = np.flatnonzero(new)
     late = np.zeros(len(order), bool)
     if len(order):
