@@ -105,9 +105,9 @@ def _for_each_query(answers, log, asked):
 def _(t):
     scenes = t.scenes
     asked = _log(t)
+    family = F.when(F.col("sensor").startswith("Sentinel"), "Sentinel-2").otherwise("Landsat")
     found = search.semantic_search(
-        asked, t.tiles.withColumn("sensor", F.when(F.col("sensor").startswith("Sentinel"), "Sentinel-2").otherwise("Landsat")),
-        scenes, t.vectors, landcover.landcover(t.images),
+        asked, t.tiles.withColumn("sensor", family), scenes, t.vector_store.withColumn("sensor", family), landcover.landcover(t.images),
         t.provenance.withColumn("details", F.struct("event_id")), top_k=5)
     found = _for_each_query(found, t.query_log, asked)
     return found.select("query_id", "rank", "tile_id", "filename", "display_score",

@@ -12,6 +12,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 
 from swathe.session import shared_dir, shuffle_width
+from swathe.sources import vector_store
 
 SOURCES = ["orders", "lineitem", "events", "documents", "embeddings", "part", "customer",
            "conversations", "pages", "supplier"]
@@ -235,6 +236,22 @@ class Tables:
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def vector_store(self) -> DataFrame:
+        """The vectors stored with their tiles' attributes, by collection, sensor and bucket."""
+        path = self._place("vector_store")
+        if path not in _stored.values():
+            vector_store.VectorStore(self.spark, path).create(vector_store.with_payload(self.vectors, self.tiles))
+            _stored[self._key("vector_store")] = path
+        return vector_store.VectorStore(self.spark, path).read()
+
+    def _key(self, name: str) -> tuple[str, str, str]:
+        return self.spark.sparkContext.applicationId, self.folder, name
+
+    def _place(self, name: str) -> str:
+        place = hashlib.sha256("|".join(self._key(name)).encode()).hexdigest()[:16]
+        return f"{shared_dir(self.spark)}/{name}-{place}"
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in STORED:
             return self._table(name)
@@ -245,10 +262,9 @@ class Tables:
         raise AttributeError(name)
 
     def _table(self, name: str) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        key = self._key(name)
         if key not in _stored:
-            place = hashlib.sha256("|".join(key).encode()).hexdigest()[:16]
-            path = f"{shared_dir(self.spark)}/{name}-{place}"
+            path = self._place(name)
             built = self.spark.sql(self._sql(name))
             built.repartition(shuffle_width(self.spark), STORED[name]).write.mode("overwrite").parquet(path)
             _stored[key] = path

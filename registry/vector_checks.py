@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from registry.base import query
@@ -10,7 +12,8 @@ from swathe.functions import vectors as vx
 from swathe.functions.numbers import round_even
 from swathe.operators import vectors
 from swathe.plans import search
-from swathe.sources import catalog
+from swathe.session import cut_lineage, shared_dir
+from swathe.sources import catalog, vector_store
 
 # DuckDB side: cosine over two float lists, in double.
 COS = ("(list_sum(list_transform(range(1, len({a}) + 1), lambda i: cast({a}[i] as double) * cast({b}[i] as double)))"
@@ -56,14 +59,13 @@ from vectors v join tiles t using (tile_id), (select embedding from embeddings w
 where v.collection = 'semantic' and t.quality_score >= 0.3 and t.cloud_cover_pct <= 45
 order by {cos_sql('v.vector', 'q.embedding')} desc, v.tile_id limit 25""")
 def _(t):
-    rows = semantic(t).join(t.tiles, "tile_id")
     probe = t.embeddings.where("vec_id = 3").select("embedding").scalar()
-    keep = vectors.payload_filter(min_quality=0.3, max_cloud=45.0)
-    return vectors.topk(rows, probe, 25, keep).select("tile_id", r6(F.col("score")).alias("score"))
+    keep = (F.col("collection") == "semantic") & vectors.payload_filter(min_quality=0.3, max_cloud=45.0)
+    return vectors.topk(t.vector_store, probe, 25, keep).select("tile_id", r6(F.col("score")).alias("score"))
 
 
 def _asked(t):
-    return t.embeddings.where("vec_id % 9 = 2").select(
+    return t.embeddings.select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
@@ -71,7 +73,7 @@ BATCH_SQL = f"""
 select query_id, tile_id, rank, round(s, 6) as score from (
  select query_id, tile_id, s, row_number() over (partition by query_id order by round(s, 12) desc, tile_id) as rank from (
   select q.vec_id as query_id, v.tile_id, {cos_sql('v.vector', 'q.embedding')} as s
-  from vectors v, embeddings q where v.collection = 'semantic' and q.vec_id % 9 = 2) x) y
+  from vectors v, embeddings q where v.collection = 'semantic') x) y
 where rank <= 10"""
 
 
@@ -88,16 +90,6 @@ def _(t):
                        r6(F.col("score")).alias("score"))
 
 
-@query("VEC-05_fetch_limit", "", """
-select l_partkey, least(1000, greatest((l_partkey % 100 + 1) * 20, 500)) as semantic_limit,
- least(100, greatest((l_partkey % 100 + 1) * 3, 30)) as visual_limit from lineitem group by l_partkey""")
-def _(t):
-    k = F.col("l_partkey") % 100 + 1
-    return t.lineitem.select("l_partkey").distinct().select(
-        "l_partkey", F.least(F.lit(1000), F.greatest(k * 20, F.lit(500))).alias("semantic_limit"),
-        F.least(F.lit(100), F.greatest(k * 3, F.lit(30))).alias("visual_limit"))
-
-
 @query("VEC-06_prompt_ensemble", "", """
 select query_id, pos, round(m / n, 6) as value from (
  select *, sqrt(sum(m * m) over (partition by query_id)) as n from (
@@ -199,7 +191,7 @@ select tile_id, filename, round_even(s, 4) as score, rank from (
  where v.collection = 'visual' and {SIMILAR_WHERE}) x where rank <= 12""")
 def _(t):
     hits = search.similar_tiles(
-        t.vectors, t.tiles, t.scenes, 7, 12, sensors=["Sentinel-2A", "Sentinel-2B", "Landsat-9"],
+        t.vector_store, t.tiles, t.scenes, 7, 12, sensors=["Sentinel-2A", "Sentinel-2B", "Landsat-9"],
         min_quality=0.1, max_cloud=55.0, bbox=(76.0, 11.0, 69.0, 9.0))
     return hits.select("tile_id", "filename", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -207,11 +199,11 @@ def _(t):
 @query("VEC-12_search_by_vector", "tiles scenes vectors", f"""with {EDGES} {SIDES},
 inside as (select tile_id from sides group by 1 having bool_or(x0 <= e and x1 >= w and y0 <= n and y1 >= s and lo <= 0 and hi >= 0) or count(*) filter (corner_hit) % 2 = 1),
 near as (select v.tile_id, t.scene_id, {cos_sql('v.vector', 'q.e')} as s from vectors v join tiles t using (tile_id), (select embedding[1:32] as e from embeddings where vec_id = 11) q
- where v.collection = 'visual' and t.center_lon between 69.95 and 71.35 and t.center_lat between 9.99 and 10.32 order by s desc, v.tile_id limit 30)
+ where v.collection = 'visual' and t.center_lon between 69.95 and 71.35 and t.center_lat between 9.99 and 10.32)
 select tile_id, filename, round_even(s, 4)::double as score, row_number() over (order by s desc, tile_id) as rank from near join inside using (tile_id) join scenes using (scene_id) order by s desc, tile_id limit 8""")
 def _(t):
     probe = t.embeddings.where("vec_id = 11").select(F.slice("embedding", 1, 32)).scalar()
-    hits = search.search_by_vector(t.vectors, t.tiles, t.scenes, probe, 8, polygon=POLYGON)
+    hits = search.search_by_vector(t.vector_store, t.tiles, t.scenes, probe, 8, polygon=POLYGON)
     return hits.select("tile_id", "filename", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -252,6 +244,25 @@ def _(t):
         "min_score", "max_score", "mean_score")])
 
 
+@query("SRC-11_upsert_stored", "vectors tiles", """
+with known as (select v.* from vectors v join tiles using (tile_id)),
+both_ as (select collection, tile_id, embedded_at, 0 as fresh, vector[1] as head from known
+ union all select collection, tile_id, cast((tile_id * 11) % 400 as int), 1, -vector[1] from known where tile_id % 3 = 0)
+select collection, tile_id, embedded_at, round(cast(head as double), 6) as head from (
+ select *, row_number() over (partition by collection, tile_id order by embedded_at desc, fresh desc) as rn from both_) x where rn = 1""")
+def _(t):
+    """Twice the same batch into a stored table, by buckets."""
+    store = vector_store.VectorStore(t.spark, f"{shared_dir(t.spark)}/upserted-{uuid.uuid4().hex}", buckets=4).create(
+        vector_store.with_payload(t.vectors, t.tiles))
+    fresh = store.read().where("tile_id % 3 = 0").withColumns({
+        "vector": F.transform("vector", lambda x: -x), "embedded_at": ((F.col("tile_id") * 11) % 400).cast("int")})
+    batch = cut_lineage(fresh)
+    store.upsert(batch)
+    store.upsert(batch)
+    return store.read().select("collection", "tile_id", "embedded_at", F.round(
+        F.col("vector")[0].cast("double"), 6).alias("head"))
+
+
 @query("SRC-11_upsert_vectors", "vectors", """
 with both_ as (select collection, tile_id, embedded_at, 0 as fresh, vector[1] as head from vectors
  union all select collection, tile_id, cast((tile_id * 11) % 400 as int), 1, -vector[1] from vectors where tile_id % 3 = 0)

@@ -22,13 +22,13 @@ VECTOR_BLOCK = 50_000
 # -- search -----------------------------------------------------------------------
 
 def similarity(vector: Column, query: Column) -> Column:
-    """Cosine as a vector store reports it; 0 for an all-zero vector."""
-    return F.coalesce(
-        F.try_divide(vx.dot(vector, query), vx.norm(vector) * vx.norm(query)), F.lit(0.0))
+    """Cosine as a vector store reports it; 0 for an all-zero vector, NULL for another length than the query's."""
+    return F.when(F.size(vector) == F.size(query), F.coalesce(
+        F.try_divide(vx.dot(vector, query), vx.norm(vector) * vx.norm(query)), F.lit(0.0)))
 
 
 def topk(vectors: DataFrame, query: Column, k: int, predicate: Column | None = None) -> DataFrame:
-    """The k nearest of the rows that pass ``predicate``; ties by tile_id.
+    """The k nearest of the rows that pass ``predicate``; ties by tile_id. Vectors of another length are no hits.
 
     The filter reaches the scan, and ORDER BY + LIMIT keeps k rows per task.
     """
@@ -36,27 +36,36 @@ def topk(vectors: DataFrame, query: Column, k: int, predicate: Column | None = N
     # The query becomes a column first: a subquery may not stand inside a lambda.
     scored = rows.withColumn("_query", query).withColumn(
         "score", similarity(F.col("vector"), F.col("_query"))).drop("_query")
-    return scored.orderBy(F.desc("score"), "tile_id").limit(k)
+    return scored.where("score is not null").orderBy(F.desc("score"), "tile_id").limit(k)
 
 
 FILTER_COLUMNS = ["sensors", "min_quality", "max_cloud", "start_day", "end_day",
                   "west", "south", "east", "north", "scene", "not_tile"]
 
 
-# Which payload column each bound of a query limits, and how.
+# Which payload column each bound of a query limits, and how. A box takes tiles whose centre lies in it and
+# whose outline is known and touches it.
 _BOUNDS = [
     ("min_quality", "quality_score", np.greater_equal), ("max_cloud", "cloud_cover_pct", np.less_equal),
     ("start_day", "acq_day", np.greater_equal), ("end_day", "acq_day", np.less_equal),
     ("west", "center_lon", np.greater_equal), ("east", "center_lon", np.less_equal),
     ("south", "center_lat", np.greater_equal), ("north", "center_lat", np.less_equal),
-    ("scene", "scene_id", np.equal), ("not_tile", "tile_id", np.not_equal),
+    ("west", "bbox_east", np.greater_equal), ("east", "bbox_west", np.less_equal),
+    ("south", "bbox_north", np.greater_equal), ("north", "bbox_south", np.less_equal),
 ]
+# Ids are compared as they are, numbers or text.
+_IDS = [("scene", "scene_id", True), ("not_tile", "tile_id", False)]
 
 
 def _allowed(rows: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
     """(queries x rows): which rows pass each query's filters. A missing value passes no range."""
     ok = np.ones((len(queries), len(rows)), dtype=bool)
+    for bound, column, wanted in _IDS:
+        for i in np.flatnonzero(queries[bound].notna().to_numpy()):
+            ok[i] &= (rows[column] == queries[bound].iloc[i]).to_numpy(dtype=bool, na_value=False) == wanted
     for bound, column, compare in _BOUNDS:
+        if column not in rows:
+            continue
         limits = queries[bound].to_numpy(dtype="float64", na_value=np.nan)
         asked = np.flatnonzero(~np.isnan(limits))
         if len(asked):
@@ -100,8 +109,8 @@ def _score_batch(rows: pd.DataFrame, queries: pd.DataFrame, k: int, filtered: bo
         who.append(part["query_id"].to_numpy()[q])
         what.append(ids[r])
         how.append(scores[q, r])
-    return pd.DataFrame({"query_id": np.concatenate(who), "tile_id": np.concatenate(what),
-                         "score": np.concatenate(how)})
+    columns = {"query_id": np.concatenate(who), "tile_id": np.concatenate(what), "score": np.concatenate(how)}
+    return pd.DataFrame(columns).astype({c: object for c in ("query_id", "tile_id") if columns[c].dtype.kind not in "iu"})
 
 
 def topk_batch(
@@ -118,7 +127,7 @@ def topk_batch(
     blocks in a grouped join.
     """
     payload = ["sensor", "quality_score", "cloud_cover_pct", "acq_day", "center_lon",
-               "center_lat", "scene_id"] if filtered else []
+               "center_lat", "scene_id", "bbox_west", "bbox_south", "bbox_east", "bbox_north"] if filtered else []
     columns = ["query_id", "query_vector"] + (FILTER_COLUMNS if filtered else [])
     rows, asked = vectors.select("tile_id", "vector", *payload), queries.select(*columns)
     id_type = dict(vectors.dtypes)["tile_id"]
@@ -152,7 +161,8 @@ def topk_batch(
 
         def meet(part: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
             if not len(part) or not len(wanted):
-                return pd.DataFrame({"query_id": [], "tile_id": [], "score": []})
+                none = pd.Series([], dtype=object)
+                return pd.DataFrame({"query_id": none, "tile_id": none, "score": none})
             return _best(_score_batch(part, wanted, k, filtered), k)
 
         local = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(
@@ -165,10 +175,6 @@ def semantic_fetch_limit(top_k: int) -> int:
     return min(1000, max(top_k * 20, 500))
 
 
-def visual_fetch_limit(top_k: int, has_polygon: bool) -> int:
-    return min(100, max(top_k * 3, 30)) if has_polygon else top_k
-
-
 def vector_of(vectors: DataFrame, tile_id) -> Column:
     """The stored vector of one tile as a scalar subquery."""
     return vectors.where(F.col("tile_id") == tile_id).select("vector").limit(1).scalar()

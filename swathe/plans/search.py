@@ -41,16 +41,6 @@ def effective_filters(parsed: DataFrame) -> DataFrame:
     })
 
 
-def searchable(vector_table: DataFrame, tiles: DataFrame, collection: str) -> DataFrame:
-    """Vectors of a collection with the payload that filters test; orphans drop out."""
-    payload = tiles.select(
-        "tile_id", "scene_id", "sensor", "quality_score", "cloud_cover_pct", "center_lon",
-        "center_lat", F.datediff(F.col("acquisition_date").cast("date"),
-                                 F.lit("1970-01-01").cast("date")).alias("acq_day"))
-    return vector_table.where(F.col("collection") == collection).select("tile_id", "vector").join(
-        payload, "tile_id")
-
-
 def enrich(hits: DataFrame, tiles: DataFrame, scenes: DataFrame, provenance: DataFrame | None,
            only_valid: bool) -> DataFrame:
     """Join hits with their tile, scene file name and newest embedding record."""
@@ -63,7 +53,7 @@ def enrich(hits: DataFrame, tiles: DataFrame, scenes: DataFrame, provenance: Dat
 
 
 def semantic_search(
-    log: DataFrame, tiles: DataFrame, scenes: DataFrame, vector_table: DataFrame,
+    log: DataFrame, tiles: DataFrame, scenes: DataFrame, store: DataFrame,
     cover: DataFrame, provenance: DataFrame | None = None, top_k: int = 10,
     encode: Callable[[Column], Column] = vectors.hashed_text_vector,
     collection: str = "semantic", answers: DataFrame | None = None,
@@ -71,9 +61,9 @@ def semantic_search(
 ) -> DataFrame:
     """Ranked tiles for every (query_id, raw_query) of a log.
 
-    Land cover is read from a table computed once, not per query. The rerank
-    sees the nearest ``semantic_fetch_limit`` tiles that pass the filters; the
-    exact footprint test follows, as does the check that a tile is valid.
+    ``store`` is the table of ``sources.vector_store``: filters, footprints and validity are tested on it before
+    tiles are ranked by distance. Land cover is read from a table computed once, not per query. The rerank
+    sees the nearest ``semantic_fetch_limit`` tiles that pass.
     """
     parsed = queries.parse_queries(log)
     if answers is not None:
@@ -83,50 +73,40 @@ def semantic_search(
         "query_id", "query_vector", F.col("raw_query").alias("query_text"),
         tx.spectral_intent_struct(F.col("raw_query")).alias("intent_flags"),
         *[F.col(f"f_{c}").alias(c) for c in vectors.FILTER_COLUMNS])
+    within = mode == "within"
+    index = store.where((F.col("collection") == collection) & F.col("is_valid"))
     if polygon is not None and len(polygon) >= 3:
         xs, ys = [p[0] for p in polygon], [p[1] for p in polygon]
         asked = asked.withColumns({
             "west": F.lit(float(min(xs))), "east": F.lit(float(max(xs))),
             "south": F.lit(float(min(ys))), "north": F.lit(float(max(ys)))})
-    # Parsed once: the scan, the footprint test and the rerank all read it.
+        test = geometry.box_within_ring if within else geometry.box_intersects_ring
+        index = index.where(test(tuple(F.col(c) for c in FOOTPRINT), geometry.ring_literal(polygon)))
+    # Parsed once: the scan and the rerank both read it.
     asked = cut_lineage(asked)
-    index = searchable(vector_table, tiles, collection)
     fetch = vectors.semantic_fetch_limit(top_k)
     hits = vectors.topk_batch(index, asked, fetch, filtered=True).drop("rank")
     found = enrich(hits, tiles, scenes, provenance, only_valid=True)
-    found = found.join(asked.select(
-        "query_id", "query_text", "intent_flags", "west", "south", "east", "north"), "query_id")
-    footprint = tuple(F.col(c) for c in FOOTPRINT)
-    if polygon is not None and len(polygon) >= 3:
-        ring = geometry.ring_literal(polygon)
-        exact = (geometry.box_within_ring if mode == "within" else geometry.box_intersects_ring)(
-            footprint, ring)
-    else:
-        box = tuple(F.col(s) for s in ("west", "south", "east", "north"))
-        exact = F.col("west").isNull() | geometry.boxes_touch(footprint, box)
-    scored = rerank.score_candidates(landcover_or_default(found.where(exact), cover))
+    found = found.join(asked.select("query_id", "query_text", "intent_flags"), "query_id")
+    scored = rerank.score_candidates(landcover_or_default(found, cover))
     return rerank.result_rows(rerank.rerank(scored, top_k))
 
 
 def search_by_vector(
-    vector_table: DataFrame, tiles: DataFrame, scenes: DataFrame, query: Column, top_k: int,
+    store: DataFrame, tiles: DataFrame, scenes: DataFrame, query: Column, top_k: int,
     collection: str = "visual", polygon=None, mode: str = "intersects",
     provenance: DataFrame | None = None, **filters,
 ) -> DataFrame:
-    """Nearest tiles to one vector. A polygon is checked exactly; a box only by tile centre."""
-    index = vector_table.where(F.col("collection") == collection).select("tile_id", "vector").join(
-        tiles.drop("vector"), "tile_id")
-    condition = vectors.payload_filter(polygon=polygon, **filters)
-    exact = polygon is not None and len(polygon) >= 3
-    if exact:
+    """Nearest tiles to one vector of the table of ``sources.vector_store``; only the hits meet their tiles. A
+    polygon is checked exactly; a box only by tile centre."""
+    condition = (F.col("collection") == collection) & vectors.payload_filter(polygon=polygon, **filters)
+    if polygon is not None and len(polygon) >= 3:
         # Tested before the ranking, so that no near tile outside takes the place of one inside.
         footprint, ring = tuple(F.col(c) for c in FOOTPRINT), geometry.ring_literal(polygon)
         test = geometry.box_within_ring if mode == "within" else geometry.box_intersects_ring
         condition = condition & test(footprint, ring)
-    hits = vectors.topk(index, query, top_k, condition)
-    out = hits.join(scenes.select("scene_id", "filename"), "scene_id")
-    if provenance is not None:
-        out = latest_provenance(out, provenance, "embedding")
+    hits = vectors.topk(store, query, top_k, condition).select("tile_id", "score")
+    out = enrich(hits, tiles, scenes, provenance, only_valid=False)
     order = F.row_number().over(_by_score())
     return rerank.result_rows(out.withColumn("rank", order).withColumn("score", F.bround("score", 4)))
 
@@ -138,12 +118,12 @@ def _by_score():
     return Window.orderBy(F.desc("score"), "tile_id")
 
 
-def similar_tiles(vector_table: DataFrame, tiles: DataFrame, scenes: DataFrame, tile_id, top_k: int,
+def similar_tiles(store: DataFrame, tiles: DataFrame, scenes: DataFrame, tile_id, top_k: int,
                   collection: str = "visual", **options) -> DataFrame:
     """Nearest tiles to a stored tile, without itself; an unknown tile is an error."""
-    stored = vector_table.where(F.col("collection") == collection)
-    if stored.where(F.col("tile_id") == tile_id).isEmpty():
+    own = store.where(F.col("collection") == collection)
+    if own.where(F.col("tile_id") == tile_id).isEmpty():
         raise ValueError(f"tile {tile_id} has no vector in {collection}")
     return search_by_vector(
-        vector_table, tiles, scenes, vectors.vector_of(stored, tile_id), top_k, collection,
+        store, tiles, scenes, vectors.vector_of(own, tile_id), top_k, collection,
         exclude_tile=tile_id, **options)

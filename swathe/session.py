@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", _local_dir())
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -24,20 +26,20 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors reach: ``spark.checkpoint.dir``.
-
-    A temporary folder stands in for it only on a local master (tests); on a
-    cluster a missing setting is an error, since a machine-local folder would
-    be lost with its executor.
-    """
+    """The folder all executors reach: ``spark.checkpoint.dir``. ``local_session`` sets one of its own; a cluster
+    must name one, since a machine-local folder would be lost with its executor."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    fallback = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        return _local_dir()
+    raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+
+
+@functools.cache
+def _local_dir() -> str:
+    """One folder for a driver that is its own only executor."""
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

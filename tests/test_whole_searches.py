@@ -16,9 +16,10 @@ def test_polygon_search_looks_past_near_tiles_outside(spark):
     flat = spark.createDataFrame(rows, "tile_id long, scene_id long, collection string, vector array<double>, "
                                  "center_lon double, center_lat double, bbox_west double, bbox_south double, "
                                  "bbox_east double, bbox_north double")
+    flat = flat.withColumn("is_valid", F.lit(True))
     scenes = spark.createDataFrame([(1, "a.tif")], "scene_id long, filename string")
     tiles = flat.drop("collection", "vector").withColumn("p_center_lon", F.lit(0.0))
-    hits = search.search_by_vector(flat.select("tile_id", "collection", "vector"), tiles, scenes,
+    hits = search.search_by_vector(flat, tiles, scenes,
                                    F.array(F.lit(1.0), F.lit(0.0)), 8,
                                    polygon=[(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)])
     assert sorted(r["tile_id"] for r in hits.collect()) == list(range(150, 158))
