@@ -283,8 +283,11 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY, weighted: boo
     reps = first.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct()
     alone = keyed.where("doc_id is not null").select("doc_id", "text").join(reps, "doc_id", "left_semi")
     sketch = stored(alone.mapInPandas(_sketches(weighted), "doc_id long, keys array<long>, bag binary"), "sketches")
-    bags = sketch.select("doc_id", "bag")
     pairs, stars = _first_pairs(sketch)
+    pairs = stored(pairs, "pairs")
+    # Only texts with a candidate are compared: all sets are shuffled once, later joins move those few.
+    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    bags = stored(sketch.select("doc_id", "bag").join(ends, "doc_id", "left_semi"), "bags")
     links = _verified(pairs, bags, at_least)
     # Rows that repeat an id with another text tie that text's class to their own.
     tied = keyed.where("doc_id is not null").join(first, "copy").where("doc_id <> rep").join(
