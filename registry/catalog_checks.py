@@ -98,9 +98,9 @@ def _(t):
 
 @query("REV-02_feedback_boost", "tiles", """
 select tile_id, round(coalesce(quality_score, 0) + least(0.05, greatest(-0.05, coalesce(net, 0) * 0.01)), 8) as order_score from tiles left join (
- select user_id as tile_id, sum(case when event_type = 'purchase' then 1 else -1 end) as net from events where event_id % 20 = 0 or event_type = 'purchase' group by 1) f using (tile_id)""")
+ select user_id as tile_id, sum(case when event_type = 'purchase' then 1 else -1 end) as net from events group by 1) f using (tile_id)""")
 def _(t):
-    feedback = t.events.where("event_id % 20 = 0 or event_type = 'purchase'").select(
+    feedback = t.events.select(
         F.col("user_id").alias("tile_id"), F.when(F.col("event_type") == "purchase", "POSITIVE").otherwise("NEGATIVE").alias("signal"))
     scored = t.tiles.select("tile_id", F.coalesce("quality_score", F.lit(0.0)).alias("order_score"))
     return listing.feedback_boost(scored, feedback).select("tile_id", F.round("order_score", 8).alias("order_score"))

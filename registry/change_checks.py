@@ -14,7 +14,7 @@ from swathe.operators import change, landcover, pairing
 from swathe.plans import change as flow
 
 DIFF = """
-d as (select a.tile_id as pair_id, a.y, a.x, abs(a.r - b.r) as dr, abs(a.g - b.g) as dg, abs(a.b - b.b) as db, b.r as r2, b.g as g2, b.b as b2 from images a join images b on b.tile_id = a.tile_id + 25 and a.y = b.y and a.x = b.x where a.tile_id % 2 = 1),
+d as (select a.tile_id as pair_id, a.y, a.x, abs(a.r - b.r) as dr, abs(a.g - b.g) as dg, abs(a.b - b.b) as db, b.r as r2, b.g as g2, b.b as b2 from images a join images b on b.tile_id = a.tile_id + 25 and a.y = b.y and a.x = b.x),
 m as (select *, floor((9798 * dr + 19235 * dg + 3735 * db + 16384) / 32768) > 28 as changed from d)"""
 
 
@@ -57,7 +57,7 @@ SHIFTS = [(dx, dy) for dy in (-2, -1, 0, 1, 2) for dx in (-2, -1, 0, 1, 2)]
 
 
 @query("CHG-04_register_shift", "images", "with " + f"""
-a as (select tile_id as pair_id, y, x, cast({GRAY} as double) as v from images where tile_id % 2 = 1),
+a as (select tile_id as pair_id, y, x, cast({GRAY} as double) as v from images),
 b as (select tile_id - 25 as pair_id, y, x, cast({GRAY} as double) as v from images),
 s(dx, dy) as (values {', '.join(map(str, SHIFTS))}),
 c as (select a.pair_id, dx, dy, corr(a.v, b.v) as r from a cross join s join b on b.pair_id = a.pair_id and b.y = a.y + dy and b.x = a.x + dx group by 1, 2, 3)
@@ -70,7 +70,7 @@ def _(t):
 @query("CHG-05_landcover_delta", "images", """
 with lc as (select tile_id, round(avg(r), 1) as water_pct, round(avg(g), 1) as veg_pct, round(avg(b), 1) as urban_pct from images where tile_id % 11 <> 3 group by 1)
 select p.tile_id as pair_id, round(coalesce(b.water_pct, 0) - coalesce(a.water_pct, 0), 1) as d_water, round(coalesce(b.veg_pct, 0) - coalesce(a.veg_pct, 0), 1) as d_veg,
- round(coalesce(b.urban_pct, 100) - coalesce(a.urban_pct, 100), 1) as d_urban from (select distinct tile_id from images where tile_id % 2 = 1) p left join lc a on a.tile_id = p.tile_id left join lc b on b.tile_id = p.tile_id + 25""")
+ round(coalesce(b.urban_pct, 100) - coalesce(a.urban_pct, 100), 1) as d_urban from (select distinct tile_id from images) p left join lc a on a.tile_id = p.tile_id left join lc b on b.tile_id = p.tile_id + 25""")
 def _(t):
     """Band means stand in for land-cover shares, to have every kind of difference."""
     cover = t.images.where("tile_id % 11 <> 3").groupBy("tile_id").agg(

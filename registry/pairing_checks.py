@@ -137,14 +137,14 @@ def _(t):
 def _pairs(t):
     """Tile n with tile n + 25: the same grid position of the next scene."""
     k = F.col("tile_id")
-    return t.tiles.where("tile_id % 2 = 1").select(
+    return t.tiles.select(
         k.alias("pair_id"), k.alias("before_tile"), (k + 25).alias("after_tile"),
         F.col("scene_id").alias("before_scene"), (F.col("scene_id") + 1).alias("after_scene"), "resolution_m")
 
 
 @query("JON-10_pair_vectors", "tiles vectors", """
 select p.tile_id as pair_id, a.vector is not null as has_before, b.vector is not null as has_after, round(cast(a.vector[2] as double), 6) as x from tiles p
-left join (select * from vectors where collection = 'visual') a on a.tile_id = p.tile_id left join (select * from vectors where collection = 'visual') b on b.tile_id = p.tile_id + 25 where p.tile_id % 2 = 1""")
+left join (select * from vectors where collection = 'visual') a on a.tile_id = p.tile_id left join (select * from vectors where collection = 'visual') b on b.tile_id = p.tile_id + 25""")
 def _(t):
     from swathe.operators import vectors
     v = vectors.pair_vectors(_pairs(t), t.vectors.where("collection = 'visual'"))
@@ -155,7 +155,7 @@ def _(t):
 
 @query("JON-11_pair_pixels", "pixels", """
 select a.tile_id as pair_id, count(*) as n, cast(sum(a.r * b.g) as bigint) as rg, cast(sum(a.b * b.b * (a.x + 1)) as bigint) as bb from pixels a join pixels b on b.tile_id = a.tile_id + 25 and a.y = b.y and a.x = b.x
-where a.tile_id % 2 = 1 group by 1""")
+group by 1""")
 def _(t):
     p = pairing.pair_pixels(_pairs(t), t.pixels)
     return p.groupBy("pair_id").agg(
@@ -165,17 +165,19 @@ def _(t):
 
 @query("JON-11_pair_pixels_resized", "pixels", """
 select a.tile_id as pair_id, count(*) as n, cast(sum(a.r * b.g) as bigint) as rg from pixels a join pixels b on b.tile_id = a.tile_id + 25 and b.y = floor((a.y + 0.5) * 32 / 20) and b.x = floor((a.x + 0.5) * 32 / 24)
-where a.tile_id % 2 = 1 and a.y < 20 and a.x < 24 group by 1""")
+where a.y < 20 and a.x < 24 group by 1""")
 def _(t):
-    sized = _pairs(t).withColumns({"before_width": F.lit(24), "before_height": F.lit(20),
+    # Earlier images are cropped; every tile is also a later image, whole, under another id.
+    later = F.col("tile_id") + 1000000
+    sized = _pairs(t).withColumns({"after_tile": F.col("after_tile") + 1000000, "before_width": F.lit(24), "before_height": F.lit(20),
                                    "after_width": F.lit(32), "after_height": F.lit(32)})
-    small = t.pixels.where("tile_id % 2 = 0 or (y < 20 and x < 24)")
+    small = t.pixels.where("y < 20 and x < 24").unionByName(t.pixels.withColumn("tile_id", later))
     p = pairing.pair_pixels(sized, small)
     return p.groupBy("pair_id").agg(F.count("*").alias("n"), F.sum(F.col("r1") * F.col("g2")).alias("rg"))
 
 
 @query("JON-12_scene_names", "tiles scenes", """
 select t.tile_id as pair_id, lower(a.filename) as before_name, lower(b.filename) as after_name from tiles t
-left join scenes a on a.scene_id = t.scene_id left join scenes b on b.scene_id = t.scene_id + 1 where t.tile_id % 2 = 1""")
+left join scenes a on a.scene_id = t.scene_id left join scenes b on b.scene_id = t.scene_id + 1""")
 def _(t):
     return pairing.scene_names(_pairs(t), t.scenes).select("pair_id", "before_name", "after_name")
