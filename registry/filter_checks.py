@@ -104,10 +104,10 @@ def _(t):
     return listing.change_tiles(t.tiles, "2018-06-01", "2024-01-01", location_box=(70.0, 10.0, 71.0, 10.2)).select("tile_id")
 
 
-@query("FIL-15_change_tiles_archive", "tiles", "select tile_id from tiles where is_valid")
+@query("FIL-15_change_tiles_archive", "tiles", "select tile_id, 1::int as match_tier from tiles where is_valid")
 def _(t):
-    """A location without tiles: the whole archive."""
-    return listing.change_tiles(t.tiles, location_box=(0.0, 0.0, 1.0, 1.0)).select("tile_id")
+    """A location without tiles: the whole archive, if asked for."""
+    return listing.change_tiles(t.tiles, location_box=(0.0, 0.0, 1.0, 1.0), widen=True).select("tile_id", "match_tier")
 
 
 @query("FIL-15_change_tiles_polygon", "tiles", f"with {EDGES} {SIDES}" + """
@@ -121,7 +121,7 @@ select tile_id from tiles where is_valid and bbox_west is null and center_lon be
 def _(t):
     """Tiles without boxes meet no polygon: centres in its envelope."""
     ring = [(70.0, 10.0), (72.0, 10.0), (72.0, 10.3), (70.0, 10.3)]
-    return listing.change_tiles(t.tiles.where("bbox_west is null"), aoi_ring=ring).select("tile_id")
+    return listing.change_tiles(t.tiles.where("bbox_west is null"), aoi_ring=ring, widen=True).select("tile_id")
 
 
 @query("FIL-16_usable_quality", "tiles", "select tile_id from tiles where quality_score is null or quality_score >= 0.25")

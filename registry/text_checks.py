@@ -90,7 +90,7 @@ def _(t):
 
 VOCAB = "vocab as (select unnest([" + ", ".join(q(w) for w in lx.spelling_vocabulary()) + "]) as candidate)"
 WEIGHT = "(case c.candidate " + " ".join(f"when {q(w)} then {v}" for w, v in lx.SPELLING_WEIGHTS.items()) + " else 1.0 end)::double"
-DOC_TOKENS = f"""tok as (select distinct token from (select lower(regexp_replace(regexp_replace(w, '^[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]+', ''), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]+$', '')) as token
+DOC_TOKENS = f"""tok as materialized (select distinct token from (select lower(regexp_replace(regexp_replace(w, '^[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]+', ''), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]+$', '')) as token
  from (select unnest(string_split({squeeze('text')}, ' ')) as w from documents) a) b where token <> '')"""
 
 
@@ -121,14 +121,22 @@ def _(t):
     return pairs.select("token", "candidate", "distance")
 
 
+def letters(word: str) -> str:
+    """The set of the letters a to z in a word, as bits. An edit changes at most two of them."""
+    return "(" + " + ".join(f"case when contains({word}, '{c}') then {1 << i} else 0 end"
+                            for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")) + ")"
+
+
 def corrections_sql(tokens: str) -> str:
     confusable = " ".join(f"when {q(k)} then {q(v)}" for k, v in lx.CONFUSABLES.items())
     keys = ", ".join(q(k) for k in lx.CONFUSABLES)
     return f"""
+known as materialized (select candidate, {letters('candidate')} as cmask from vocab),
+open_ as materialized (select token, {letters('token')} as tmask from {tokens}
+  where length(token) >= 4 and token not in (select candidate from vocab) and token not in ({keys}) and not regexp_full_match(token, '[\\d.\\-]+')),
 fuzzy as (select token, candidate, d, row_number() over (partition by token order by (1.0::double - d / greatest(length(token), length(candidate)) + case when same then 0.1::double else 0.0 end) * w desc, candidate) as rn, same from (
   select token, c.candidate, damerau_levenshtein({ASCII}, c.candidate) as d, left(token, 1) = left(c.candidate, 1) as same, {WEIGHT} as w
-  from {tokens} join vocab c on abs(length(token) - length(c.candidate)) <= 2
-  where length(token) >= 4 and token not in (select candidate from vocab) and token not in ({keys}) and not regexp_full_match(token, '[\\d.\\-]+')) x
+  from open_ join known c on abs(length(token) - length(c.candidate)) <= 2 and bit_count(xor(tmask, cmask)) <= 4) x
  where d <= case when length(token) >= 5 then 2 else 1 end and (d < 2 or same)),
 fixes as (select token, candidate as corrected, round(case when d = 1 then 0.95 else 0.8 end + case when same then 0.03 else 0 end, 2)::double as confidence, cast(d as int) as distance from fuzzy where rn = 1
  union all select token, corrected, 0.96::double, cast(damerau_levenshtein(token, corrected) as int) from (select token, case token {confusable} end as corrected from {tokens} where token in ({keys})) y)"""

@@ -163,13 +163,15 @@ def model_eval_rates(cases: DataFrame) -> DataFrame:
 
 # -- selection for change analysis -----------------------------------------------------------
 
-def change_tiles(tiles: DataFrame, start=None, end=None, aoi_ring=None, location_box=None) -> DataFrame:
-    """Valid tiles in a date range and area, with the fallbacks of change analysis. No date is no filter.
-
-    An area of interest that meets no footprint falls back to tile centres in
-    its envelope; a location that holds no tile centre falls back to the whole
-    archive. Each tile gets the tier it qualifies for and the best tier that
-    occurs is kept, so the fallback is part of one plan.
+def change_tiles(tiles: DataFrame, start=None, end=None, aoi_ring=None, location_box=None,
+                 widen: bool = False) -> DataFrame:
+    """Valid tiles in a date range and area. No date is no filter.
+
+    With ``widen``, as change analysis does, an area of interest that meets no
+    footprint falls back to tile centres in its envelope, and a location that
+    holds no tile centre to the whole archive. Each tile gets the tier it
+    qualifies for and the best tier that occurs is kept, so the fallback is part
+    of one plan; ``match_tier`` (0: the area itself, 1: the fallback) says which.
     """
     base = tiles.where("is_valid")
     if start is not None:
@@ -189,9 +191,11 @@ def change_tiles(tiles: DataFrame, start=None, end=None, aoi_ring=None, location
         tier = F.when(geometry.point_in_box(lon, lat, location_box), 0).otherwise(1)
     else:
         return base
-    tiered = base.withColumn("_tier", tier).where(F.col("_tier").isNotNull())
-    best = tiered.agg(F.min("_tier"))
-    return tiered.where(F.col("_tier") == best.scalar()).drop("_tier")
+    tiered = base.withColumn("match_tier", tier).where(F.col("match_tier").isNotNull())
+    if not widen:
+        return tiered.where("match_tier = 0").drop("match_tier")
+    best = tiered.agg(F.min("match_tier"))
+    return tiered.where(F.col("match_tier") == best.scalar())
 
 
 # -- declared by the data model ------------------------------------------------------------

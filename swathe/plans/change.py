@@ -93,7 +93,8 @@ def analyze_change(
         if parsed[0] is not None:
             box = tuple(parsed[:4])
         vector = F.array(*[F.lit(v) for v in parsed["vector"]])
-    chosen = change_tiles(tiles, start, end, aoi_ring, None if aoi_ring is not None else box)
+    chosen = change_tiles(tiles, start, end, aoi_ring, None if aoi_ring is not None else box,
+                          widen=True).drop("match_tier")
     pairs = pair_attributes(pairing.matched_pairs(chosen), chosen, scenes)
     evidence = pair_evidence(pairs, pixels, vector_table)
     scored = score_pairs(evidence, query, vector, weights, thresholds)

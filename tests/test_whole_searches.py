@@ -40,3 +40,15 @@ def test_repeated_wordings_are_all_answered(spark):
     answers = asked.select("query_id", F.lit(7).alias("tile_id"))
     out = rerank_checks._for_each_query(answers, log, asked)
     assert sorted(tuple(r) for r in out.select("query_id", "tile_id").collect()) == [(i, 7) for i in range(1, 6)]
+
+
+def test_an_empty_match_widens_only_when_asked(spark):
+    tiles = spark.createDataFrame(
+        [(1, True, 0.5, 0.5, 0.4, 0.4, 0.6, 0.6), (2, True, 5.0, 5.0, None, None, None, None)],
+        "tile_id long, is_valid boolean, center_lon double, center_lat double, bbox_west double, bbox_south double, "
+        "bbox_east double, bbox_north double")
+    got = lambda **how: sorted((r["tile_id"], r["match_tier"] if how.get("widen") else 0) for r in listing.change_tiles(tiles, **how).collect())
+    away, ring = (8.0, 8.0, 9.0, 9.0), [(4.0, 4.0), (6.0, 4.0), (6.0, 6.0)]
+    assert got(location_box=away) == [] and got(location_box=away, widen=True) == [(1, 1), (2, 1)]
+    assert got(aoi_ring=ring) == [] and got(aoi_ring=ring, widen=True) == [(2, 1)]
+    assert got(location_box=(0.0, 0.0, 1.0, 1.0), widen=True) == [(1, 0)]
