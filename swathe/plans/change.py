@@ -43,7 +43,9 @@ def pair_evidence(pairs: DataFrame, pixels: DataFrame, vector_table: DataFrame,
     shape = change.spatial_consistency(mask, pairs)
     df = pairs.join(shift, "pair_id").join(stats, "pair_id").join(shape, "pair_id")
     df = df.withColumn("resolution_m", F.col("before_resolution_m"))
-    df = change.landcover_delta(change.area_columns(df), landcover.landcover(pixels))
+    paired = pairs.select(F.explode(F.array("before_tile", "after_tile")).alias("tile_id")).distinct()
+    cover = landcover.landcover(pixels.join(paired, "tile_id", "left_semi"))
+    df = change.landcover_delta(change.area_columns(df), cover)
     df = vectors.pair_vectors(df, vector_table.where(F.col("collection") == "semantic"))
     return df.withColumn("semantic_score", vectors.semantic_distance(
         F.col("before_vector"), F.col("after_vector")))
