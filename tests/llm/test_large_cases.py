@@ -171,3 +171,9 @@ def test_license_chains_are_weighed():
     assert share >= 0.8
     _, stretches = automaton.scan(template * 300)
     assert sum(s[3] >= 0.99 for s in automaton.chain(stretches) if s[0] == 0) == 300
+
+
+def test_classes_of_the_language_model_are_all_used():
+    for n in (0, 3, maxent.OWN):
+        own = {w: i for i, w in enumerate(WORDS[:n])}
+        assert set(maxent.classes_of(np.array(WORDS, dtype=object), own).tolist()) == set(range(maxent.CLASSES))
