@@ -147,7 +147,8 @@ def _sets(packed) -> list[np.ndarray]:
 
 def _with_bags(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     one, two = (bags.select(F.col("doc_id").alias(name), F.col("bag").alias(f"bag_{name}")) for name in "ab")
-    return pairs.join(one, "a").join(two, "b")
+    # Pairs grow with the corpus, so they are merged with the sets at every size and never broadcast.
+    return pairs.hint("merge").join(one, "a").hint("merge").join(two, "b")
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, at_least: float) -> DataFrame:
@@ -243,7 +244,7 @@ def _residual_links(stars: DataFrame, classes: DataFrame, bags: DataFrame, at_le
         low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
         return links_between(group["doc_id"].to_numpy(), group["class_id"].to_numpy(), _sets(group["bag"]), at_least,
                              None if low == high else group["own"].to_numpy())
-    return met.join(bags, "doc_id").groupBy("ref", "shingle", "low", "high").applyInPandas(
+    return met.hint("merge").join(bags, "doc_id").groupBy("ref", "shingle", "low", "high").applyInPandas(
         compare, "a long, b long").distinct()
 
 
@@ -287,7 +288,7 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY, weighted: boo
     pairs = stored(pairs, "pairs")
     # Only texts with a candidate are compared: all sets are shuffled once, later joins move those few.
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    bags = stored(sketch.select("doc_id", "bag").join(ends, "doc_id", "left_semi"), "bags")
+    bags = stored(sketch.select("doc_id", "bag").join(ends.hint("merge"), "doc_id", "left_semi"), "bags")
     links = _verified(pairs, bags, at_least)
     # Rows that repeat an id with another text tie that text's class to their own.
     tied = keyed.where("doc_id is not null").join(first, "copy").where("doc_id <> rep").join(
