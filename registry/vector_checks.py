@@ -90,6 +90,15 @@ def _(t):
                        r6(F.col("score")).alias("score"))
 
 
+@query("VEC-05_fetch_limit", "", """
+select l_partkey, least(1000, greatest((l_partkey % 100 + 1) * 20, 500)) as semantic_limit,
+ least(100, greatest((l_partkey % 100 + 1) * 3, 30)) as visual_limit from lineitem group by l_partkey""")
+def _(t):
+    semantic_limit, visual_limit = vectors.fetch_limits(F.col("l_partkey") % 100 + 1)
+    return t.lineitem.select("l_partkey").distinct().select(
+        "l_partkey", semantic_limit.alias("semantic_limit"), visual_limit.alias("visual_limit"))
+
+
 @query("VEC-06_prompt_ensemble", "", """
 select query_id, pos, round(m / n, 6) as value from (
  select *, sqrt(sum(m * m) over (partition by query_id)) as n from (

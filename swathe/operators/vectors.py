@@ -171,6 +171,13 @@ def topk_batch(
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def fetch_limits(top_k: Column) -> tuple[Column, Column]:
+    """How many tiles a semantic and a visual search for ``top_k`` hits are known to fetch. Only the first is in
+    use here: visual search tests footprints before it ranks."""
+    return (F.least(F.lit(1000), F.greatest(top_k * 20, F.lit(500))),
+            F.least(F.lit(100), F.greatest(top_k * 3, F.lit(30))))
+
+
 def semantic_fetch_limit(top_k: int) -> int:
     return min(1000, max(top_k * 20, 500))
 
