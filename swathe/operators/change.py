@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -86,13 +88,13 @@ def register_shift(pair_pixels: DataFrame, max_shift: int = 2) -> DataFrame:
 
     (pair_id, shift_x, shift_y, registration_quality): the correlation of gray
     levels within 0..1; 1 for images under 32 pixels on a side, 0 for flat ones.
-    The neighbours come from windows over one clustering by pair, so pixels are
-    shuffled once however many shifts are tried. Shifts below one pixel are not
+    The neighbours come from windows over the clustering by pair that ``pair_pixels``
+    leaves, so pixels are not shuffled again however many shifts are tried. Shifts below one pixel are not
     searched.
     """
     gray = pair_pixels.select(
         "pair_id", "y", "x", raster.gray8(F.col("r1"), F.col("g1"), F.col("b1")).alias("a"),
-        raster.gray8(F.col("r2"), F.col("g2"), F.col("b2")).alias("b")).repartition("pair_id")
+        raster.gray8(F.col("r2"), F.col("g2"), F.col("b2")).alias("b"))
     along_x = Window.partitionBy("pair_id", "y").orderBy("x")
     along_y = Window.partitionBy("pair_id", "x").orderBy("y")
     steps = range(-max_shift, max_shift + 1)
@@ -124,49 +126,67 @@ def register_shift(pair_pixels: DataFrame, max_shift: int = 2) -> DataFrame:
 def mask_runs(mask: DataFrame) -> DataFrame:
     """Changed pixels (pair_id, y, x) as horizontal runs (pair_id, y, x0, x1)."""
     line = Window.partitionBy("pair_id", "y").orderBy("x")
-    return mask.select("pair_id", "y", "x").repartition("pair_id").withColumn(
+    return mask.select("pair_id", "y", "x").withColumn(
         "island", F.col("x") - F.row_number().over(line)).groupBy("pair_id", "y", "island").agg(
         F.min("x").alias("x0"), F.max("x").alias("x1")).drop("island")
 
 
 def _join_runs(runs: pd.DataFrame) -> pd.DataFrame:
-    """Areas and boxes of the 8-connected components of one pair's runs."""
-    runs = runs.sort_values(["y", "x0"], ignore_index=True)
-    y, x0, x1 = (runs[c].to_numpy() for c in ("y", "x0", "x1"))
-    root = np.arange(len(runs))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    start = np.searchsorted(y, y - 1, "left")
-    stop = np.searchsorted(y, y - 1, "right")
+    """Areas and boxes of the 8-connected components of the runs of some pairs, which stand by pair, y and x0."""
+    pair = pd.factorize(runs["pair_id"])[0]
+    y, x0, x1 = (runs[c].to_numpy("int64") for c in ("y", "x0", "x1"))
+    # A number per pair and row, with a free one between pairs, and along it the places of the ends.
+    line = pair * (y.max() - y.min() + 2) + y - y.min()
+    wide = x1.max() - x0.min() + 4
+    left, right = line * wide + x0 - x0.min() + 1, line * wide + x1 - x0.min() + 1
     # Runs of a row are disjoint and sorted, so the touching ones above are a slice.
-    for i in range(len(runs)):
-        lo = start[i] + np.searchsorted(x1[start[i]:stop[i]], x0[i] - 1, "left")
-        hi = start[i] + np.searchsorted(x0[start[i]:stop[i]], x1[i] + 1, "right")
-        for j in range(lo, hi):
-            a, b = find(i), find(j)
-            root[max(a, b)] = min(a, b)
-    runs["component"] = [find(i) for i in range(len(runs))]
-    runs["pixels"] = x1 - x0 + 1
-    parts = runs.groupby("component").agg(
-        area=("pixels", "sum"), x0=("x0", "min"), x1=("x1", "max"), y0=("y", "min"), y1=("y", "max"))
+    first = np.searchsorted(right, left - wide - 1, "left")
+    count = np.maximum(np.searchsorted(left, right - wide + 1, "right") - first, 0)
+    below = np.repeat(np.arange(len(runs)), count)
+    above = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    # Each run takes the smallest label around it and the label of its label, until nothing changes.
+    root = np.arange(len(runs))
+    while True:
+        low = np.minimum(root[below], root[above])
+        new = root.copy()
+        np.minimum.at(new, root[below], low)
+        np.minimum.at(new, root[above], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    parts = pd.DataFrame({"pair_id": runs["pair_id"].to_numpy(), "root": root, "y": y, "x0": x0, "x1": x1, "area": x1 - x0 + 1}).groupby(
+        "root", sort=False).agg(pair_id=("pair_id", "first"), area=("area", "sum"), x0=("x0", "min"), x1=("x1", "max"),
+                                y0=("y", "min"), y1=("y", "max"))
+    starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
     return pd.DataFrame({
-        "pair_id": runs["pair_id"].iloc[0], "component": parts.index, "area": parts["area"],
+        "pair_id": parts["pair_id"], "component": parts.index - starts[pair[parts.index]], "area": parts["area"],
         "width": parts["x1"] - parts["x0"] + 1, "height": parts["y1"] - parts["y0"] + 1})
 
 
+def _join_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of sorted runs; the last pair of a batch waits for the rest of its runs."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if len(held):
+            open_ = (held["pair_id"] == held["pair_id"].iloc[-1]).to_numpy()
+            if not open_.all():
+                yield _join_runs(held[~open_])
+                held = held[open_].reset_index(drop=True)
+    if held is not None and len(held):
+        yield _join_runs(held)
+
+
 def change_components(mask: DataFrame) -> DataFrame:
     """(pair_id, component, area, width, height) of the 8-connected changed regions.
 
-    Runs are found by a window, so Python joins runs, not pixels; a group is one
-    tile pair, whose size the tile size bounds.
+    Runs are found by a window, so Python joins runs, not pixels, those of many pairs at a time; a pair's runs, which
+    the tile size bounds, are what a task holds beside a batch.
     """
     schema = f"pair_id {dict(mask.dtypes)['pair_id']}, component long, area long, width long, height long"
-    return mask_runs(mask).groupBy("pair_id").applyInPandas(_join_runs, schema)
+    runs = mask_runs(mask).repartition("pair_id")
+    return runs.sortWithinPartitions("pair_id", "y", "x0").mapInPandas(_join_batches, schema)
 
 
 def spatial_consistency(mask: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swathe.functions.geometry import box_iou, boxes_overlap, distance
-from swathe.session import cut_lineage
+from swathe.operators.tiling import beside
+from swathe.session import cut_lineage, width_for
 
 SIDES = ("west", "south", "east", "north")
 
@@ -277,8 +278,8 @@ def pair_pixels(pairs: DataFrame, pixels: DataFrame) -> DataFrame:
     shifted = has("shift_x", "shift_y")
     extra = [c for c in ("before_width", "before_height", "after_width", "after_height",
                          "shift_x", "shift_y") if c in pairs.columns]
-    first = pairs.select("pair_id", F.col("before_tile").alias("tile_id"), *extra).join(
-        pixels, "tile_id").withColumnsRenamed({"r": "r1", "g": "g1", "b": "b1"}).drop("tile_id")
+    facts = pairs.select("pair_id", F.col("before_tile").alias("tile_id"), *extra)
+    first = beside(pixels, facts, "tile_id").withColumnsRenamed({"r": "r1", "g": "g1", "b": "b1"}).drop("tile_id")
 
     def at(axis: str, dim: str) -> Column:
         place = F.col(axis)
@@ -287,12 +288,26 @@ def pair_pixels(pairs: DataFrame, pixels: DataFrame) -> DataFrame:
         return place + F.col(f"shift_{axis}") if shifted else place
 
     first = first.withColumns({"ay": at("y", "height"), "ax": at("x", "width")})
-    second = pairs.select("pair_id", F.col("after_tile").alias("tile_id")).join(pixels, "tile_id").select(
+    second = beside(pixels, pairs.select("pair_id", F.col("after_tile").alias("tile_id")), "tile_id").select(
         "pair_id", F.col("y").alias("ay"), F.col("x").alias("ax"),
         F.col("r").alias("r2"), F.col("g").alias("g2"), F.col("b").alias("b2"))
-    joined = first.join(second, ["pair_id", "ay", "ax"], "left" if shifted else "inner")
+    rows, tiles = pixels.agg(F.count("*"), F.approx_count_distinct("tile_id")).first()
+    width = width_for(pixels.sparkSession, pairs.count() * rows / max(tiles, 1))
     later = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("r2", "g2", "b2")]
-    return joined.select("pair_id", "y", "x", "r1", "g1", "b1", *later)
+    if sized:
+        # Neither side is broadcast or sorted: the later pixels of a task, a bounded number, are hashed.
+        first, second = (side.repartition(width, "pair_id", "ay", "ax") for side in (first, second))
+        joined = first.join(second.hint("shuffle_hash"), ["pair_id", "ay", "ax"], "left" if shifted else "inner")
+        return joined.select("pair_id", "y", "x", "r1", "g1", "b1", *later)
+    # A place holds one pixel of each side: both are grouped by it, clustered by the pair alone. So a tile's pixels
+    # stay together in the shuffle, where they compress well, and what follows by pair needs no other.
+    first = first.select("pair_id", "ay", "ax", "y", "x", "r1", "g1", "b1", F.lit(1).alias("one"))
+    second = second.withColumn("two", F.lit(1))
+    both = first.unionByName(second, allowMissingColumns=True).repartition(width, "pair_id")
+    met = both.groupBy("pair_id", "ay", "ax").agg(*[
+        F.max(c).alias(c) for c in ("y", "x", "r1", "g1", "b1", "r2", "g2", "b2", "one", "two")])
+    met = met.where(F.col("one").isNotNull() if shifted else F.col("one").isNotNull() & F.col("two").isNotNull())
+    return met.select("pair_id", "y", "x", "r1", "g1", "b1", *later)
 
 
 def scene_names(pairs: DataFrame, scenes: DataFrame) -> DataFrame:

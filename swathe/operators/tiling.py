@@ -13,6 +13,17 @@ from pyspark.sql import functions as F
 from swathe.config import TilingConfig
 from swathe.functions import raster
 from swathe.functions.numbers import as_col, clip, count_where, round_even, share
+from swathe.session import width_for
+
+
+def beside(pixels: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Pixels with facts of their tile or scene.
+
+    Pixel files are so small for their rows that Spark would send them all through the driver, or sort them. So the
+    facts are hashed, and the pixels stream past them in tasks of bounded size that stay clustered by ``key``.
+    """
+    spread = pixels.repartition(width_for(pixels.sparkSession, pixels.count()), key)
+    return spread.join(facts.hint("shuffle_hash"), key, how)
 
 
 # -- grid ----------------------------------------------------------------------
@@ -183,7 +194,7 @@ def percentile_stretch(
             .when(enough, clip(value / ceiling, 0.0, 1.0))
             .otherwise(clip(value, 0.0, 1.0)))
 
-    placed = pixels.join(band_percentiles(pixels, bands, nodata), "tile_id", "left")
+    placed = beside(pixels, band_percentiles(pixels, bands, nodata), "tile_id", "left")
     return placed.select("tile_id", "y", "x", *[
         c.alias(band) for band, c in _stretched(pixels, bands, nodata, rule).items()])
 
@@ -196,7 +207,7 @@ def rgb8(pixels: DataFrame, roles: list[str], nodata: float | None = None) -> Da
         scaled = (value - stats["p2"]) / (stats["p98"] - stats["p2"]) * 255.0
         return F.when(enough & spread, clip(scaled, 0.0, 255.0)).otherwise(clip(value, 0.0, 255.0))
 
-    placed = pixels.join(band_percentiles(pixels, bands, nodata), "tile_id", "left")
+    placed = beside(pixels, band_percentiles(pixels, bands, nodata), "tile_id", "left")
     shown = _stretched(pixels, bands, nodata, rule)
     return placed.select("tile_id", "y", "x", *[
         F.floor(shown[role]).cast("int").alias(name) for role, name in zip(roles, ("r", "g", "b"))])
@@ -224,7 +235,7 @@ def thumbnail_stretch(pixels: DataFrame, nodata: float | None = None) -> DataFra
         ).otherwise(value / F.greatest(F.col("top"), F.lit(1.0)) * 255.0)
         return F.floor(clip(scaled, 0.0, 255.0)).cast("int")
 
-    return pixels.join(range_, "tile_id").select(
+    return beside(pixels, range_, "tile_id").select(
         "tile_id", "y", "x", *[shown(b).alias(b) for b in bands])
 
 
@@ -234,7 +245,7 @@ def downsample(pixels: DataFrame, tiles: DataFrame, out_width: int, out_height:
     ``tiles`` gives tile_id, pixel_width and pixel_height.
     """
     at = lambda axis, size, out: F.floor(F.col(axis) * out / F.col(size)).cast("int")
-    sized = pixels.join(tiles.select("tile_id", "pixel_width", "pixel_height"), "tile_id")
+    sized = beside(pixels, tiles.select("tile_id", "pixel_width", "pixel_height"), "tile_id")
     return sized.groupBy(
         "tile_id", at("y", "pixel_height", out_height).alias("out_y"),
         at("x", "pixel_width", out_width).alias("out_x"),
@@ -288,7 +299,11 @@ def laplacian(pixels: DataFrame, value: str, key: str = "tile_id") -> DataFrame:
 
     Both windows are clustered by the tile alone, so one shuffle serves them.
     """
-    placed = pixels.repartition(key)
+    return _laplacian(pixels.repartition(width_for(pixels.sparkSession, pixels.count()), key), value, key)
+
+
+def _laplacian(placed: DataFrame, value: str, key: str) -> DataFrame:
+    """The Laplacian of pixels that are clustered by ``key``."""
     along_x = Window.partitionBy(key, "y").orderBy("x")
     along_y = Window.partitionBy(key, "x").orderBy("y")
 
@@ -320,7 +335,7 @@ def scene_sample(pixels: DataFrame, scenes: DataFrame, limit: int = 512) -> Data
         source = F.floor((guess + 0.5) * F.col(dim) / out(dim)).cast("int")
         return F.when((source == F.col(axis)) & (guess < out(dim)), guess)
 
-    sized = pixels.join(scenes.select("scene_id", "width", "height"), "scene_id")
+    sized = beside(pixels, scenes.select("scene_id", "width", "height"), "scene_id")
     return sized.withColumns({"_y": index("y", "height"), "_x": index("x", "width")}).where(
         F.col("_y").isNotNull() & F.col("_x").isNotNull()
     ).drop("y", "x", "width", "height").withColumnsRenamed({"_y": "y", "_x": "x"})
@@ -334,13 +349,14 @@ def scene_assessment(sample: DataFrame, nodata: float | None = None) -> DataFram
         missing = missing | (F.col(band) == (0.0 if nodata is None else nodata))
     tops = sample.groupBy("scene_id").agg(F.max(F.greatest(*bands)).alias("top"))
     scale = F.when(F.col("top") <= 1.0, 1.0).otherwise(reflectance_scale(F.col("top")))
-    scaled = sample.join(tops, "scene_id").withColumn("missing", missing).withColumns(
+    # This join leaves all rows of a scene in one task, so the windows of the Laplacian need no further shuffle.
+    scaled = sample.join(tops.hint("shuffle_hash"), "scene_id").withColumn("missing", missing).withColumns(
         dict(zip(bands, _scaled(scale))))
     scaled = scaled.withColumns({
         "cloudy": (raster.cloud_probability(*map(F.col, bands)) > 0.75) & ~F.col("missing"),
         "lum": F.floor((F.col("r") * 0.299 + F.col("g") * 0.587 + F.col("b") * 0.114) * 255.0),
     })
-    stats = laplacian(scaled, "lum", "scene_id").groupBy("scene_id").agg(
+    stats = _laplacian(scaled, "lum", "scene_id").groupBy("scene_id").agg(
         share(F.col("missing")).alias("nodata_ratio"),
         round_even(share(F.col("cloudy")) * 100.0, 2).alias("cloud_cover_pct"),
         F.least(F.lit(1.0), F.var_pop("laplacian") / 1000.0).alias("sharpness"))
