@@ -174,3 +174,17 @@ def test_best_items_of_equal_boxes_and_footprints(spark):
     best = files.best_stac_items(items, areas)
     assert sorted((r["area_id"], r["item_id"], r["cloud"]) for r in best.collect()) == [(1, 3, 19.0), (2, 3, 19.0), (3, 4, 49.0)]
     assert "SortAggregate" not in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_distinct_text_is_read_once(spark):
+    from swathe.operators import queries
+    log = spark.createDataFrame([(1, "a b", 5), (2, None, 6), (3, "a b", 7), (4, "", 8)], "query_id long, raw_query string, other int")
+    read = []
+
+    def build(texts):
+        read.append(texts.count())
+        return texts.withColumn("size", F.length(F.coalesce("raw_query", F.lit("?"))))
+    out = queries.by_text(log, "raw_query", build)
+    assert read == [3] and out.columns == ["query_id", "raw_query", "other", "size"]
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[0]) == [
+        (1, "a b", 5, 3), (2, None, 6, 1), (3, "a b", 7, 3), (4, "", 8, 0)]
