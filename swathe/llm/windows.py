@@ -16,6 +16,7 @@ another and is left whole. An empty table gives no rows; texts of any length are
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,8 @@ LENGTH = 13
 BASES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 SENT = 7                  # bytes of a hash that travel
-CHUNK = 2 << 20           # windows of the documents that a task settles among themselves
+CHUNK = 1 << 20           # windows of the documents that a task settles among themselves
+ROWS = 16                 # buckets of a chunk that a task passes on at a time
 BUCKET_CHARS = 8 << 20
 LEAST_BUCKETS = 64
 
@@ -80,10 +82,12 @@ def pack_places(places: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def unpack_places(packed: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The places of documents that hold ``counts`` each."""
-    total = np.cumsum(packed, dtype="int64")[packed != 255]
+    # Sums over all documents may wrap around; a place itself fits, and differences come out right.
+    total = np.cumsum(packed, dtype="uint32")[packed != 255]
     starts = np.cumsum(counts) - counts
     before = np.where(starts > 0, total[np.maximum(starts, 1) - 1] if len(total) else 0, 0)
-    return total - np.repeat(before, counts)
+    total -= np.repeat(before.astype("uint32"), counts)
+    return total
 
 
 def _runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,25 +117,39 @@ def _listing(length: int, buckets: int):
     names = [c.split(" ")[0] for c in LISTED.split(", ")]
 
     def settle(ids, keys, hashes):
+        """Rows of a chunk. Arrays over all its windows are 32 bits wide where they can be, and go when they are used:
+        the workers of an executor share what its heap leaves."""
         by_id = np.argsort(ids, kind="stable")
         ids, keys = ids[by_id], keys[by_id]
-        hashes = [hashes[i] for i in by_id]
-        sizes = np.array([len(h[0]) for h in hashes])
-        high, low = (np.concatenate([h[i] for h in hashes]) for i in (0, 1))
-        owner = np.repeat(np.arange(len(ids)), sizes)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        sizes = np.array([len(hashes[i][0]) for i in by_id])
+        high, low = (np.concatenate([hashes[i][k] for i in by_id]) for k in (0, 1))
+        hashes.clear()
+        owner = np.repeat(np.arange(len(ids), dtype="int32"), sizes)
+        place = np.arange(len(owner), dtype="int32")
+        place -= np.repeat((np.cumsum(sizes) - sizes).astype("int32"), sizes)
         order, new = _runs(high)
-        first = ids[owner[order[np.flatnonzero(new)]]][np.cumsum(new) - 1]
+        order = order.astype("int32")
+        # Documents stand by id, so the first of a run holds its smallest id; equal ids share a rank.
+        rank = np.cumsum(np.append(False, ids[1:] != ids[:-1]), dtype="int32")[owner[order]]
+        first = np.flatnonzero(new).astype("int32")
+        runs = np.diff(np.append(first, np.int32(len(order))))
         late = np.empty(len(order), bool)
-        late[order] = ids[owner[order]] > first
+        late[order] = rank > np.repeat(rank[first], runs)
+        del order, new, rank, first, runs
         # Late entries of a document go to one bucket, the others to that of their hash.
-        spread = (keys.astype("uint64") * MIX >> np.uint64(32))[owner]
-        bucket = ((np.where(late, spread, low.astype("uint64")) * np.uint64(buckets)) >> np.uint64(32)).astype("int32")
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(cuts)):
-            here = order[cuts[b]:cuts[b + 1]]
-            row = [int(b)]
+        kind = "uint16" if buckets <= 1 << 16 else "int32"
+        low = low.astype("uint64")
+        low *= np.uint64(buckets)
+        low >>= np.uint64(32)
+        bucket = low.astype(kind)
+        del low
+        spread = (keys.astype("uint64") * MIX >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        bucket[late] = spread.astype(kind)[owner[late]]
+        order = np.argsort(bucket, kind="stable").astype("int32")
+        filled, held = np.unique(bucket, return_counts=True)
+        del bucket
+        for b, here in zip(filled.tolist(), np.split(order, np.cumsum(held)[:-1]), strict=True):
+            row = [b]
             for chosen in (here[~late[here]], here[late[here]]):
                 docs, counts, packed = _by_document(chosen, owner, place)
                 row += [ids[docs].tobytes(), keys[docs].tobytes(), counts.astype("uint32").tobytes(), packed.tobytes()]
@@ -143,42 +161,49 @@ def _listing(length: int, buckets: int):
         ids, keys, hashes, total = [], [], [], 0
 
         def flush():
-            rows = list(settle(np.array(ids, "int64"), np.array(keys, "int64"), hashes))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()),
-                 *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, len(names)))], names)
+            rows = settle(np.array(ids, "int64"), np.array(keys, "int64"), hashes)
+            while some := list(itertools.islice(rows, ROWS)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in some], pa.int32()),
+                     *(pa.array([r[i] for r in some], pa.binary()) for i in range(1, len(names)))], names)
         for batch in batches:
-            for doc_id, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text")), strict=True):
-                found = window_hashes(text, length)
+            columns = (batch.column(c) for c in ("doc_id", "key", "text"))
+            for doc_id, key, text in zip(*columns, strict=True):
+                found = window_hashes(text.as_py(), length)
                 if len(found[0]):
-                    ids.append(doc_id)
-                    keys.append(key)
+                    ids.append(doc_id.as_py())
+                    keys.append(key.as_py())
                     hashes.append(found)
                     total += len(found[0])
                 if total >= CHUNK:
-                    yield flush()
+                    yield from flush()
                     ids, keys, hashes, total = [], [], [], 0
         if total:
-            yield flush()
+            yield from flush()
     return run
 
 
 def _later_holders(group: pd.DataFrame) -> pd.DataFrame:
     """``doc_id, key, late``: the packed places of the windows that an earlier document holds."""
-    joined = lambda name, kind: np.frombuffer(b"".join(group[name]), kind)
+    joined = lambda name, kind: np.frombuffer(b"".join(group.pop(name)), kind)
     ids, keys, counts = joined("ids", "int64"), joined("keys", "int64"), joined("counts", "uint32").astype("int64")
     # Documents of a row follow one another, so that rows joined together read like one.
     place = unpack_places(joined("places", "uint8"), counts)
+    sent = joined("hashes", "uint8").reshape(-1, SENT)
     padded = np.zeros((len(place), 8), "uint8")
-    padded[:, :SENT] = joined("hashes", "uint8").reshape(-1, SENT)
-    hashes = padded.view("uint64").ravel()
-    owner = np.repeat(np.arange(len(ids)), counts)
-    order, new = _runs(hashes)
-    starts = np.flatnonzero(new)
+    padded[:, :SENT] = sent
+    del sent
+    owner = np.repeat(np.arange(len(ids), dtype="int32"), counts)
+    order, new = _runs(padded.view("uint64").ravel())
+    del padded
+    order = order.astype("int32")
     late = np.zeros(len(order), bool)
     if len(order):
-        own = ids[owner[order]]
-        late[order] = own > np.minimum.reduceat(own, starts)[np.cumsum(new) - 1]
+        rank = np.unique(ids, return_inverse=True)[1].astype("int32")[owner[order]]
+        starts = np.flatnonzero(new)
+        late[order] = rank > np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(order))))
+        del rank, starts
+    del order, new
     found = [(ids, keys, *_by_document(np.flatnonzero(late), owner, place))]
     settled = joined("late_ids", "int64"), joined("late_keys", "int64"), joined("late_counts", "uint32").astype("int64")
     found.append((*settled[:2], np.arange(len(settled[0])), settled[2], joined("late_places", "uint8")))

@@ -1,9 +1,12 @@
 """Large ids, batches and groups, repetitive and repeated texts."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +180,19 @@ def test_classes_of_the_language_model_are_all_used():
     for n in (0, 3, maxent.OWN):
         own = {w: i for i, w in enumerate(WORDS[:n])}
         assert set(maxent.classes_of(np.array(WORDS, dtype=object), own).tolist()) == set(range(maxent.CLASSES))
+
+
+def test_a_chunk_and_a_bucket_of_windows_stay_small():
+    """The workers of an executor share what its heap leaves: some 100 MB each."""
+    words = np.random.default_rng(1).integers(0, 10_000, (1000, 1200)).astype(str)
+    ids = np.arange(1000)
+    batch = pa.RecordBatch.from_pydict({"doc_id": ids, "key": ids, "text": [" ".join(row) for row in words]})
+    tracemalloc.start()
+    rows = pd.concat([b.to_pandas() for b in windows._listing(windows.LENGTH, 1)(iter([batch] * 3))])
+    listed = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    late = windows._later_holders(rows)
+    grouped = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert late["doc_id"].is_unique and len(late) == 0
+    assert listed < 150e6 and grouped < 220e6
