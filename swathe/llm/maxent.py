@@ -3,8 +3,10 @@
 A word's chance is that of its class given the two words before it, times the word's share of its
 class. Classes are the most frequent words, one each, and hashed groups of the rest. Class weights
 stand in a table that hashed features index (bias, previous word, previous two, the word before the
-previous); their number grows with the corpus. Every partition of the training documents runs
-gradient steps over all its text from the current table, and Spark averages what they changed.
+previous): 65,536 rows at least, beyond 67 million tokens in step with the square root of their number.
+Shards of the training documents run gradient steps over all their text from the empty table, and Spark
+averages what they changed. There are as many shards as partitions, fewer by as much as the table grows,
+so the rows that they emit stay in proportion to the text.
 
 Counts and classes come from all training documents. Words in at least one of ``HEAD`` tokens (so at
 most ``HEAD`` of them) are broadcast, all others meet their counts in a join that no word can make hot.
@@ -18,6 +20,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,9 @@ from swathe.llm.common import fold, mix, split_words, stored, texts, words_colum
 CLASSES = 32
 OWN = 15
 HEAD = 10_000
+LEAST_BITS = 16
+UNITS = 1024              # weights travel as whole 1/1024, up to 32 either way
+EMITTED = 8192
 STEP = 2048
 RATE = 0.3
 END = ""
@@ -41,7 +47,14 @@ def token_column(text: Column) -> Column:
 
 
 def feature_bits(n_tokens: int) -> int:
-    return max(10, math.ceil(math.log2(max(n_tokens, 1))) - 12)
+    """Bits of a table whose rows grow as the square root of the training tokens, ``LEAST_BITS`` at the least."""
+    return max(LEAST_BITS, math.floor(math.log2(max(n_tokens, 1)) / 2) + 3)
+
+
+def shard_count(partitions: int, bits: int) -> int:
+    """Passes over the training texts: each emits a table at most, so as the table grows they get fewer and longer, and
+    what they emit together stays in proportion to the partitions."""
+    return max(1, partitions >> (bits - LEAST_BITS))
 
 
 def checksums(words: np.ndarray) -> np.ndarray:
@@ -138,23 +151,30 @@ def groups(docs, size: int = 500_000):
 
 
 def train(docs: DataFrame, own: dict[str, int], bits: int) -> np.ndarray:
-    """The table after each partition's pass over its texts, changes averaged over partitions."""
+    """The table after each shard's pass over its texts, changes averaged over shards."""
     names = [f"c{i}" for i in range(CLASSES)]
 
     def run(batches):
         table, squares = (np.zeros((1 << bits, CLASSES), "float32") for _ in range(2))
-        texts_in = ((tokens(t),) for batch in batches for t in batch["text"])
+        texts_in = ((tokens(t),) for batch in batches for t in batch.column("text").to_pylist())
         for group in groups(texts_in):
             train_batch(table, squares, Batch([g[0] for g in group], own, bits))
         touched = np.flatnonzero(squares.any(axis=1))
-        out = pd.DataFrame(table[touched], columns=names)
-        out.insert(0, "feature", touched)
-        yield out
-    schema = "feature long, " + ", ".join(f"{n} float" for n in names)
-    changes = docs.select("text").mapInPandas(run, schema)
-    averaged = changes.groupBy("feature").agg(*(F.avg(n).alias(n) for n in names)).toPandas()
+        for at in range(0, len(touched), EMITTED):
+            rows = touched[at:at + EMITTED]
+            units = np.clip(np.rint(table[rows] * UNITS), -32767, 32767).astype("int16")
+            offsets = np.arange(len(rows) + 1, dtype="int32") * CLASSES
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(units.ravel()))],
+                ["feature", "units"])
+    shards = shard_count(docs.rdd.getNumPartitions(), bits) if bits > LEAST_BITS else None
+    dealt = docs.select("text") if shards is None else docs.select("text").coalesce(shards)
+    # Rows are dealt before they are summed: sums are wider than what they add up.
+    changes = dealt.mapInArrow(run, "feature long, units array<short>").repartition("feature")
+    averaged = changes.groupBy("feature").agg(
+        *(F.avg(F.col("units")[i]).alias(n) for i, n in enumerate(names))).toPandas()
     table = np.zeros((1 << bits, CLASSES), "float32")
-    table[averaged["feature"].to_numpy("int64")] = averaged[names].to_numpy("float32")
+    table[averaged["feature"].to_numpy("int64")] = averaged[names].to_numpy("float32") / UNITS
     return table
 
 

@@ -196,3 +196,26 @@ def test_a_chunk_and_a_bucket_of_windows_stay_small():
     tracemalloc.stop()
     assert late["doc_id"].is_unique and len(late) == 0
     assert listed < 150e6 and grouped < 220e6
+
+
+def test_contexts_have_rows_of_their_own_and_training_rows_follow_the_input():
+    bits = maxent.feature_bits(len(WORDS))
+    after = maxent.Batch([WORDS], {}, bits).features[0]
+    assert len(np.unique(after)) > 0.95 * len(WORDS)
+    # Rows emitted at most, for partitions of four million tokens.
+    rows = []
+    for partitions in 4 ** np.arange(3, 12):
+        bits = maxent.feature_bits(int(partitions) << 22)
+        rows.append((maxent.shard_count(int(partitions), bits) << bits) / partitions)
+    assert max(rows) <= min(rows)
+
+
+def test_shards_train_a_table_over_all_texts(spark):
+    docs = spark.createDataFrame([(" ".join(WORDS[i:i + 40]),) for i in range(0, 400, 40)], "text string").repartition(8)
+    bits = maxent.LEAST_BITS + 2
+    table = maxent.train(docs, {}, bits)
+    held = maxent.Batch([maxent.tokens(r["text"]) for r in docs.collect()], {}, bits)
+    assert table[np.unique(held.features)].any(axis=1).all()
+    chances = held.log_chances(table, slice(None))
+    assert np.allclose(np.exp(chances).sum(axis=1), 1, atol=1e-4)
+    assert chances[np.arange(len(held.target)), held.target].mean() > -np.log(maxent.CLASSES)
