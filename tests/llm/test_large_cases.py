@@ -219,3 +219,43 @@ def test_shards_train_a_table_over_all_texts(spark):
     chances = held.log_chances(table, slice(None))
     assert np.allclose(np.exp(chances).sum(axis=1), 1, atol=1e-4)
     assert chances[np.arange(len(held.target)), held.target].mean() > -np.log(maxent.CLASSES)
+
+
+def plain_rate(fitted: list[bytes], url: bytes) -> float:
+    """Log10 likelihood a character by counting over all fitted urls, order by order."""
+    padded = lambda u: b"\x02" * urls.ORDER + u + b"\x03"
+    counts = {}
+    for u in map(padded, fitted):
+        for i in range(urls.ORDER, len(u)):
+            for k in range(urls.ORDER + 1):
+                after = counts.setdefault(u[i - k:i] if k else b"", {})
+                after[u[i]] = after.get(u[i], 0) + 1
+    data, total = padded(url), 0.0
+    for i in range(urls.ORDER, len(data)):
+        chance = 1.0 / urls.ALPHABET
+        for k in range(urls.ORDER + 1):
+            after = counts.get(data[i - k:i] if k else b"")
+            if after is None:
+                break
+            chance = (after.get(data[i], 0) + len(after) * chance) / (sum(after.values()) + len(after))
+        total += np.log10(chance)
+    return total / (len(data) - urls.ORDER)
+
+
+def test_every_labelled_url_is_counted(spark, monkeypatch):
+    monkeypatch.setattr(urls, "CHARS", 500)
+    rng = random.Random(5)
+    rows = [("".join(rng.choices("abcdé/" if i % 2 else "cdexyz/", k=rng.randint(0, 30))), ("allow", "block")[i % 2])
+            for i in range(120)] + [("long/" * 700, "allow"), ("tail" * 900, "block"), ("", "block")]
+    labelled = spark.createDataFrame(rows, "text string, verdict string").repartition(4)
+    models, threshold = urls.fit_ratio(labelled)
+    marked = labelled.select("text", "verdict", (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("held")).collect()
+    fitted = {v: [r["text"].encode() for r in marked if r["verdict"] == v and not r["held"]] for v in ("allow", "block")}
+    for model, says in zip(models.value, ("allow", "block"), strict=True):
+        assert model.totals[model.contexts == 0].sum() == sum(len(u) + 1 for u in fitted[says])
+    asked = [r["text"] for r in marked] + ["never/seen?", "ab"]
+    found = urls.with_ratio(spark.createDataFrame([(t,) for t in asked], "text string"), ["text"], models).collect()
+    plain = {t: plain_rate(fitted["allow"], t.encode()) - plain_rate(fitted["block"], t.encode()) for t in asked}
+    assert all(r["ratio"] == pytest.approx(plain[r["text"]], abs=1e-9) for r in found)
+    held = [plain[r["text"]] for r in marked if r["verdict"] == "allow" and r["held"]]
+    assert threshold <= 0 and sum(x < threshold for x in held) <= urls.FALSE_REJECTS * len(held)
