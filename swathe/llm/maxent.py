@@ -3,7 +3,7 @@
 A word's chance is that of its class given the two words before it, times the word's share of its
 class. Classes are the most frequent words, one each, and hashed groups of the rest. Class weights
 stand in a table that hashed features index (bias, previous word, previous two, the word before the
-previous): 65,536 rows at least, beyond 67 million tokens in step with the square root of their number.
+previous): 65,536 rows at least, from 268 million tokens on twice as many for every fourfold of tokens.
 Shards of the training documents run gradient steps over all their text from the empty table, and Spark
 averages what they changed. There are as many shards as partitions, fewer by as much as the table grows,
 so the rows that they emit stay in proportion to the text.
