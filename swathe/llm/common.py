@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -88,6 +90,23 @@ def _segment_hashes(segment: bytes) -> np.ndarray:
     return mix(sums + sizes.astype("uint64"))
 
 
+# Characters or list entries of a batch that are turned into Python values at a time, and rows.
+AT_A_TIME = 1 << 20
+ROWS_AT_A_TIME = 512
+
+
+def slices(batch: pa.RecordBatch, column: str | int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose values of ``column`` have about ``AT_A_TIME`` bytes or entries, a row at least: a batch
+    of 10,000 long texts and what is made of it would fill a worker many times over."""
+    values = batch.column(column)
+    length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+    sizes = pc.fill_null(length(values), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype="int64") // AT_A_TIME + np.arange(len(sizes)) // ROWS_AT_A_TIME
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    for start, past in itertools.pairwise([*starts.tolist(), len(sizes)]):
+        yield batch.slice(start, past - start)
+
+
 def mapped(rows: DataFrame, kept: list[str], start: Callable[[], Callable], added: str, column: str = "text") -> DataFrame:
     """``kept`` columns as they are, followed by ``added`` ones, for every row.
 
@@ -99,12 +118,11 @@ def mapped(rows: DataFrame, kept: list[str], start: Callable[[], Callable], adde
 
     def run(batches):
         work = start()
-        for batch in batches:
-            if batch.num_rows:
-                new = work(batch.column(column).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in kept),
-                     *(pa.array(v, f.type) for v, f in zip(new, fields, strict=True))], names)
+        for batch in (part for whole in batches for part in slices(whole, column)):
+            new = work(batch.column(column).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept),
+                 *(pa.array(v, f.type) for v, f in zip(new, fields, strict=True))], names)
     schema = StructType([*(rows.schema[c] for c in kept), *StructType.fromDDL(added)])
     return rows.select(*dict.fromkeys([*kept, column])).mapInArrow(run, schema)
 

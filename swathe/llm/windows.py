@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from swathe.llm.common import free_name, split_words, texts, word_hashes
+from swathe.llm.common import free_name, slices, split_words, texts, word_hashes
 
 LENGTH = 13
 BASES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -284,7 +284,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cut = free_name("late_cut", docs.columns)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             new, changed = [], []
             for text, parts in zip(batch.column(at).to_pylist(), batch.column(late).to_pylist(), strict=True):
                 words, mask = _removed(text or "", parts, length)
