@@ -10,6 +10,7 @@ from swathe import lexicon as lx
 from swathe.functions import text as tx
 from swathe.operators import landcover, rerank
 from swathe.plans import search
+from swathe.session import cut_lineage
 
 
 def name_says(*words: str) -> str:
@@ -104,7 +105,8 @@ def _for_each_query(answers, log, asked):
 @query("SCR-07_semantic_search")
 def _(t):
     scenes = t.scenes
-    asked = _log(t)
+    # Grouped once: the search reads it several times.
+    asked = cut_lineage(_log(t))
     family = F.when(F.col("sensor").startswith("Sentinel"), "Sentinel-2").otherwise("Landsat")
     found = search.semantic_search(
         asked, t.tiles.withColumn("sensor", family), scenes, t.vector_store.withColumn("sensor", family), landcover.landcover(t.images),

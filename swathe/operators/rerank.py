@@ -73,12 +73,29 @@ def spectral_match(intent, water: Column, veg: Column, urban: Column, scene_name
         .otherwise(0.50))
 
 
+def _lexical_words(text: Column, marks: str) -> Column:
+    return F.array_except(tokens_of(F.regexp_replace(F.lower(text), marks, " ")), word_set(lx.LEXICAL_STOPS))
+
+
+def query_words(query: Column) -> Column:
+    """The distinct words of a query that may stand in the name of a scene."""
+    return _lexical_words(query, r"[_\-,]")
+
+
+def scene_words(scene_name: Column) -> Column:
+    """The distinct words in the name of a scene."""
+    return _lexical_words(scene_name, r"[_\-.]")
+
+
+def shared_word_boost(asked: Column, named: Column) -> Column:
+    """.11 for each word that both arrays hold, at most .22."""
+    shared = F.size(F.array_intersect(asked, named))
+    return F.coalesce(F.least(F.lit(0.22), F.greatest(shared, F.lit(0)) * 0.11), F.lit(0.0))
+
+
 def lexical_boost(query: Column, scene_name: Column) -> Column:
     """.11 for each word the query shares with the scene name, at most .22."""
-    stops = word_set(lx.LEXICAL_STOPS)
-    words = lambda text, marks: F.array_except(tokens_of(F.regexp_replace(F.lower(text), marks, " ")), stops)
-    shared = F.size(F.array_intersect(words(query, r"[_\-,]"), words(scene_name, r"[_\-.]")))
-    return F.coalesce(F.least(F.lit(0.22), F.greatest(shared, F.lit(0)) * 0.11), F.lit(0.0))
+    return shared_word_boost(query_words(query), scene_words(scene_name))
 
 
 def semantic_adjustment(similarity: Column) -> Column:
@@ -94,12 +111,16 @@ def fused_score(spectral: Column, lexical: Column, semantic: Column, pure_water:
 
 
 def score_candidates(candidates: DataFrame) -> DataFrame:
-    """Add the score parts. Needs score, land cover, filename, query_text and a struct ``intent``."""
+    """Add the score parts. Needs score, land cover, filename, a struct ``intent_flags``, and query_text or, read
+    before, the arrays query_words and scene_words."""
     intent = F.col("intent_flags")
+    lexical = (
+        shared_word_boost(F.col("query_words"), F.col("scene_words")) if "query_words" in candidates.columns
+        else lexical_boost(F.col("query_text"), F.col("filename")))
     water, veg, urban = F.col("water_pct"), F.col("veg_pct"), F.col("urban_pct")
     df = candidates.withColumns({
         "spectral_match": spectral_match(intent, water, veg, urban, F.col("filename")),
-        "lexical_boost": lexical_boost(F.col("query_text"), F.col("filename")),
+        "lexical_boost": lexical,
         "semantic_adjustment": semantic_adjustment(F.col("score")),
     })
     fused = fused_score(F.col("spectral_match"), F.col("lexical_boost"), F.col("semantic_adjustment"),

@@ -199,3 +199,42 @@ def test_a_model_is_fed_parts_of_bounded_size(spark):
     got = vectors.embed(docs, load, "id", "text").collect()
     assert sorted(r["id"] for r in got) == list(range(40))
     assert all(r["vector"][0] == 1 << 20 and r["vector"][1] <= 8 for r in got)
+
+
+def test_filters_are_tested_once_for_queries_that_share_them(monkeypatch):
+    import pandas as pd
+    random = np.random.default_rng(5)
+    n, m, k = 700, 60, 9
+    rows = pd.DataFrame({
+        "tile_id": random.permutation(n), "vector": list(random.normal(size=(n, 8)).round(1)),
+        "sensor": random.choice(["a", "b", None], n), "quality_score": random.random(n), "scene_id": random.integers(0, 3, n)})
+    asked = pd.DataFrame({"query_id": np.arange(m), "query_vector": list(random.normal(size=(m, 8)))})
+    for column in vectors.FILTER_COLUMNS:
+        asked[column] = None
+    asked["sensors"] = [np.array(["a"]) if i % 3 == 0 else None for i in range(m)]
+    asked["min_quality"] = [0.5 if i % 2 else np.nan for i in range(m)]
+    asked["scene"] = [1 if i % 5 == 0 else None for i in range(m)]
+    seen, plain = [], vectors._allowed
+    monkeypatch.setattr(vectors, "_allowed", lambda rows, queries: seen.append(len(queries)) or plain(rows, queries))
+    got = vectors._score_batch(rows, asked, k, True)
+    assert sum(seen) == 8
+    unit = lambda v: v / np.linalg.norm(v)
+    for i, q in asked.iterrows():
+        ok = rows[(rows["sensor"] == "a") | (i % 3 != 0)]
+        ok = ok[(ok["quality_score"] >= 0.5) | (i % 2 == 0)]
+        ok = ok[(ok["scene_id"] == 1) | (i % 5 != 0)]
+        scores = [round(float(unit(q["query_vector"]) @ unit(v)), 12) for v in ok["vector"]]
+        best = sorted(zip([-s for s in scores], ok["tile_id"]))[:k]
+        mine = got[got["query_id"] == i]
+        assert set(mine["tile_id"]) == {t for _, t in best}
+    none = vectors._score_batch(rows, asked.assign(min_quality=2.0), k, True)
+    assert len(none) == 0 and list(none) == ["query_id", "tile_id", "score"]
+
+
+def test_a_task_passes_on_few_hits_a_query():
+    """Not the best of every few thousand rows, which a search for many hits would hold all at once."""
+    import pandas as pd
+    random = np.random.default_rng(6)
+    rows = pd.DataFrame({"tile_id": np.arange(13_000), "vector": list(random.normal(size=(13_000, 4)))})
+    asked = pd.DataFrame({"query_id": [1, 2], "query_vector": list(random.normal(size=(2, 4)))})
+    assert len(vectors._score_batch(rows, asked, 500, False)) == 1000
