@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from swathe.config import TilingConfig
 from swathe.functions import raster
 from swathe.functions.numbers import as_col, clip, count_where, round_even, share
-from swathe.session import width_for
+from swathe.session import plain, width_for
 
 
 def beside(pixels: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -23,7 +23,7 @@ def beside(pixels: DataFrame, facts: DataFrame, key: str, how: str = "inner") ->
     facts are hashed, and the pixels stream past them in tasks of bounded size that stay clustered by ``key``.
     """
     spread = pixels.repartition(width_for(pixels.sparkSession, pixels.count()), key)
-    return spread.join(facts.hint("shuffle_hash"), key, how)
+    return spread.join(plain(facts).hint("shuffle_hash"), key, how)
 
 
 # -- grid ----------------------------------------------------------------------

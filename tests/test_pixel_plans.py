@@ -7,6 +7,7 @@ import pytest
 from registry.tables import Tables
 from registry.pairing_checks import _pairs
 from swathe.operators import change, pairing, tiling
+from swathe.session import cut_lineage
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -53,3 +54,12 @@ def test_components_of_many_pairs_in_odd_batches():
         got = parts[["pair_id", "area", "width", "height"]].itertuples(index=False, name=None)
         assert sorted(got) == sorted(expected)
         assert (parts.groupby("pair_id")["component"].min() == 0).all()
+
+
+def test_filters_behind_small_tables_are_not_computed_for_pixels(spark):
+    t = Tables(spark, SMALL)
+    facts = t.tiles.where("is_valid").select("tile_id", "sensor")  # is_valid is computed from tile_id % 29
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(tiling.beside(t.images, facts, "tile_id")).count("% 29)") == plan(facts).count("% 29)") > 0
+    assert "% 29)" not in plan(t.images.join(cut_lineage(facts), "tile_id"))
+    assert cut_lineage(facts).schema == facts.schema
