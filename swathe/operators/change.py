@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,11 +77,50 @@ def diff_lines(diff: DataFrame) -> DataFrame:
 
 def line_stats(lines: DataFrame) -> DataFrame:
     """The figures of ``pair_pixel_stats`` from ``diff_lines``."""
-    total = F.sum("n")
-    return lines.groupBy("pair_id").agg(
-        F.sum(F.size("changed_x").cast("long")).alias("changed_pixels"), total.alias("total_pixels"),
-        clip(F.sqrt(F.sum("squares") / (total * 3.0)) / 28.0, 0.05, 1.0).alias("visual_score"),
-        (F.sum("dark") / total).alias("shadow_score"))
+    sums = lines.groupBy("pair_id").agg(
+        F.sum(F.size("changed_x").cast("long")).alias("changed_pixels"), F.sum("n").alias("total_pixels"),
+        F.sum("squares").alias("squares"), F.sum("dark").alias("dark"))
+    return line_scores(sums).drop("squares", "dark")
+
+
+def line_scores(sums: DataFrame) -> DataFrame:
+    """Visual and shadow score from a pair's sums."""
+    total = F.col("total_pixels")
+    return sums.withColumns({
+        "visual_score": clip(F.sqrt(F.col("squares") / (total * 3.0)) / 28.0, 0.05, 1.0),
+        "shadow_score": F.col("dark") / total})
+
+
+def _overlap(size: int, step: int) -> tuple[slice, slice]:
+    """Places i of the earlier and i + step of the later image that both exist."""
+    return slice(max(0, -step), size - max(0, step)), slice(max(0, step), size - max(0, -step))
+
+
+def _best_shift(a: np.ndarray, b: np.ndarray, seen: np.ndarray, max_shift: int) -> tuple[int, int, float]:
+    """Shift (dx, dy) at which two gray images correlate best over the places seen in both, and that correlation.
+
+    The sums are whole numbers, so the result depends on no order; of equal shifts the nearest, then the larger wins.
+    """
+    sides = [np.flatnonzero(seen.any(axis=k)) for k in (1, 0)]
+    if min(s[-1] - s[0] + 1 for s in sides) < 32:
+        return 0, 0, 1.0
+    a, b = np.where(seen, a, 0).astype("float64"), np.where(seen, b, 0).astype("float64")
+    mask = None if seen.all() else seen.astype("float64")
+    best = None
+    for dy in range(-max_shift, max_shift + 1):
+        ya, yb = _overlap(len(a), dy)
+        for dx in range(-max_shift, max_shift + 1):
+            xa, xb = _overlap(a.shape[1], dx)
+            p, q = a[ya, xa].ravel(), b[yb, xb].ravel()
+            n = p.size
+            if mask is not None:
+                both = (mask[ya, xa] * mask[yb, xb]).ravel()
+                p, q, n = p * both, q * both, int(both.sum())
+            sp, sq = int(p.sum()), int(q.sum())
+            spread = (n * int(p @ p) - sp * sp) * (n * int(q @ q) - sq * sq)
+            corr = (n * int(p @ q) - sp * sq) / math.sqrt(spread) if spread else 0.0
+            best = max(best or (-2.0,), (corr, -abs(dx) - abs(dy), dx, dy))
+    return best[2], best[3], min(1.0, max(0.0, best[0]))
 
 
 def register_shift(pair_pixels: DataFrame, max_shift: int = 2) -> DataFrame:
@@ -88,37 +128,23 @@ def register_shift(pair_pixels: DataFrame, max_shift: int = 2) -> DataFrame:
 
     (pair_id, shift_x, shift_y, registration_quality): the correlation of gray
     levels within 0..1; 1 for images under 32 pixels on a side, 0 for flat ones.
-    The neighbours come from windows over the clustering by pair that ``pair_pixels``
-    leaves, so pixels are not shuffled again however many shifts are tried. Shifts below one pixel are not
-    searched.
+    The pixels of a pair, which the tile size bounds, are tried in one piece over the clustering by pair that
+    ``pair_pixels`` leaves, so they are not shuffled again. Shifts below one pixel are not searched.
     """
     gray = pair_pixels.select(
-        "pair_id", "y", "x", raster.gray8(F.col("r1"), F.col("g1"), F.col("b1")).alias("a"),
-        raster.gray8(F.col("r2"), F.col("g2"), F.col("b2")).alias("b"))
-    along_x = Window.partitionBy("pair_id", "y").orderBy("x")
-    along_y = Window.partitionBy("pair_id", "x").orderBy("y")
-    steps = range(-max_shift, max_shift + 1)
-    ahead = lambda c, n, w: F.lead(c, n).over(w) if n >= 0 else F.lag(c, -n).over(w)
-    rows = gray.withColumn("line", F.array(*[ahead("b", dx, along_x) for dx in steps]))
-    rows = rows.withColumns({f"line{i}": ahead("line", dy, along_y) for i, dy in enumerate(steps)})
-    trials = F.array(*[
-        F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.col(f"line{i}")[j].cast("double").alias("b"))
-        for i, dy in enumerate(steps) for j, dx in enumerate(steps)])
-    # Grouping by pair and shift keeps the clustering by pair: no further shuffle.
-    tried = rows.select("pair_id", "y", "x", F.col("a").cast("double").alias("a"), F.inline(trials)).groupBy(
-        "pair_id", "dx", "dy").agg(
-        F.coalesce(F.corr("a", "b"), F.lit(0.0)).alias("corr"),
-        (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
-    nearness = -(F.abs("dx") + F.abs("dy"))
-    best = tried.groupBy("pair_id").agg(
-        F.max(F.struct("corr", nearness.alias("nearness"), "dx", "dy")).alias("best"),
-        F.max("w").alias("w"), F.max("h").alias("h"))
-    tiny = (F.col("w") < 32) | (F.col("h") < 32)
-    return best.select(
-        "pair_id",
-        F.when(tiny, 0).otherwise(F.col("best.dx")).alias("shift_x"),
-        F.when(tiny, 0).otherwise(F.col("best.dy")).alias("shift_y"),
-        F.when(tiny, 1.0).otherwise(clip(F.col("best.corr"), 0.0, 1.0)).alias("registration_quality"))
+        "pair_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"),
+        raster.gray8(F.col("r1"), F.col("g1"), F.col("b1")).alias("a"),
+        raster.gray8(F.col("r2"), F.col("g2"), F.col("b2")).alias("b")).dropna()
+
+    def tried(pair: pd.DataFrame) -> pd.DataFrame:
+        y, x = (pair[c].to_numpy() - pair[c].min() for c in ("y", "x"))
+        a, b, seen = (np.zeros((y.max() + 1, x.max() + 1), kind) for kind in ("int64", "int64", bool))
+        a[y, x], b[y, x], seen[y, x] = pair["a"], pair["b"], True
+        return pd.DataFrame([(pair["pair_id"].iloc[0], *_best_shift(a, b, seen, max_shift))])
+
+    kind = dict(pair_pixels.dtypes)["pair_id"]
+    return gray.groupBy("pair_id").applyInPandas(
+        tried, f"pair_id {kind}, shift_x int, shift_y int, registration_quality double")
 
 
 # -- shape of the change ---------------------------------------------------------------
@@ -202,12 +228,15 @@ def spatial_consistency(mask: DataFrame, pairs: DataFrame) -> DataFrame:
         F.sum("area").alias("changed"), F.avg("area").alias("mean_area"),
         F.sum(F.when(F.col("place") <= 5, F.col("area"))).alias("top_area"),
         F.max(F.when(largest, F.col("area") / (F.col("width") * F.col("height")))).alias("fill"))
+    return pairs.select("pair_id").join(stats, "pair_id", "left").select("pair_id", consistency_score(
+        F.col("changed"), F.col("mean_area"), F.col("top_area"), F.col("fill")).alias("spatial_consistency"))
+
+
+def consistency_score(changed: Column, mean_area: Column, top_area: Column, fill: Column) -> Column:
     score = clip(
-        F.col("top_area") / F.col("changed") * 0.45
-        + F.least(F.lit(1.0), F.col("mean_area") / 120.0) * 0.35
-        + F.least(F.lit(1.0), F.col("fill")) * 0.20, 0.05, 0.99)
-    return pairs.select("pair_id").join(stats, "pair_id", "left").select(
-        "pair_id", F.when(F.col("changed") >= 10, score).otherwise(0.2).alias("spatial_consistency"))
+        top_area / changed * 0.45 + F.least(F.lit(1.0), mean_area / 120.0) * 0.35
+        + F.least(F.lit(1.0), fill) * 0.20, 0.05, 0.99)
+    return F.when(changed >= 10, score).otherwise(0.2)
 
 
 # -- land cover -------------------------------------------------------------------------

@@ -26,6 +26,16 @@ def beside(pixels: DataFrame, facts: DataFrame, key: str, how: str = "inner") ->
     return spread.join(plain(facts).hint("shuffle_hash"), key, how)
 
 
+BROADCAST_TILES = 200_000
+
+
+def of_tiles(pixels: DataFrame, ids: DataFrame) -> DataFrame:
+    """The pixels of the tiles in ``ids``, which may be broadcast up to ``BROADCAST_TILES`` rows (a few MB)."""
+    if ids.count() <= BROADCAST_TILES:
+        return pixels.join(F.broadcast(plain(ids)), "tile_id", "left_semi")
+    return beside(pixels, ids, "tile_id", "left_semi")
+
+
 # -- grid ----------------------------------------------------------------------
 
 def tile_grid(scenes: DataFrame, config: TilingConfig = TilingConfig()) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from swathe.config import Thresholds, Weights
 from swathe.functions import confidence as cf
 from swathe.functions import text as tx
-from swathe.operators import change, landcover, pairing, vectors
+from swathe.operators import change, landcover, pairing, rasters, tiling, vectors
 from swathe.operators.listing import change_tiles
 from swathe.operators.queries import parse_queries
 from swathe.session import cut_lineage
@@ -34,17 +34,15 @@ def pair_evidence(pairs: DataFrame, pixels: DataFrame, vector_table: DataFrame,
     """Registration, pixel change, shape of change, land cover and semantic distance of pairs."""
     # Small results that several branches read are written once to the checkpoint folder.
     pairs = cut_lineage(pairs)
-    shift = cut_lineage(change.register_shift(pairing.pair_pixels(pairs, pixels), max_shift))
-    placed = pairs.select("pair_id", "before_tile", "after_tile").join(shift, "pair_id")
-    diff = change.pixel_diff(pairing.pair_pixels(placed, pixels))
-    lines = cut_lineage(change.diff_lines(diff))
-    stats = change.line_stats(lines)
-    mask = lines.select("pair_id", "y", F.explode("changed_x").alias("x"))
-    shape = change.spatial_consistency(mask, pairs)
-    df = pairs.join(shift, "pair_id").join(stats, "pair_id").join(shape, "pair_id")
+    figures = cut_lineage(rasters.pair_figures(pairs, pixels, max_shift))
+    shape = change.consistency_score(
+        F.col("changed_pixels"), F.col("changed_pixels") / F.nullif("regions", F.lit(0)),
+        F.col("top_area"), F.col("fill"))
+    df = pairs.join(change.line_scores(figures).withColumn("spatial_consistency", shape).drop(
+        "squares", "dark", "regions", "top_area", "fill"), "pair_id")
     df = df.withColumn("resolution_m", F.col("before_resolution_m"))
     paired = pairs.select(F.explode(F.array("before_tile", "after_tile")).alias("tile_id")).distinct()
-    cover = landcover.landcover(pixels.join(paired, "tile_id", "left_semi"))
+    cover = landcover.landcover(tiling.of_tiles(pixels, paired))
     df = change.landcover_delta(change.area_columns(df), cover)
     df = vectors.pair_vectors(df, vector_table.where(F.col("collection") == "semantic"))
     return df.withColumn("semantic_score", vectors.semantic_distance(
