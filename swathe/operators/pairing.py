@@ -256,6 +256,9 @@ def greedy_match(candidates: DataFrame) -> DataFrame:
 
 def matched_pairs(tiles: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """One-to-one tile pairs over all scene pairs, past the quality gate, with a pair_id."""
+    # What the joins below read many times is written once; a derived catalogue would be derived in each of them.
+    needed = [*_GEOMETRY, "acquisition_date", "quality_score", "pixel_width", "pixel_height"]
+    tiles = cut_lineage(tiles.select(*[c for c in needed if c in tiles.columns]))
     pairs = scene_pairs(tiles) if pairs is None else pairs
     matched = greedy_match(candidate_pairs(tiles, pairs))
     good = tiles.where(usable_quality(F.col("quality_score"))).select("tile_id")

@@ -21,12 +21,14 @@ _TILE = ["tile_col", "tile_row", "center_lon", "center_lat", "sensor", "resoluti
 
 def pair_attributes(pairs: DataFrame, tiles: DataFrame, scenes: DataFrame) -> DataFrame:
     """Both tiles' attributes and scene names on each pair."""
+    # Pairs, tiles and scenes are read for both sides: each is written once to the checkpoint folder.
+    pairs, tiles = cut_lineage(pairs), cut_lineage(tiles.select("tile_id", "acquisition_date", *_TILE))
     for name in ("before", "after"):
         side = tiles.select(
             F.col("tile_id").alias(f"{name}_tile"), F.col("acquisition_date").alias(f"{name}_date"),
             *[F.col(c).alias(f"{name}_{c}") for c in _TILE])
         pairs = pairs.join(side, f"{name}_tile")
-    return pairing.scene_names(pairs, scenes)
+    return pairing.scene_names(pairs, cut_lineage(scenes.select("scene_id", "filename")))
 
 
 def pair_evidence(pairs: DataFrame, pixels: DataFrame, vector_table: DataFrame,

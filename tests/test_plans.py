@@ -76,3 +76,12 @@ def test_streamed_files_are_deduplicated(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(out)).select(F.col("checksum")).distinct().count() == 2
     assert spark.read.parquet(str(out)).count() == 2
+
+
+def test_change_pairs_derive_the_catalogue_once(spark):
+    from swathe.plans import change as flow
+    t = Tables(spark, FOLDER)
+    pairs = pairing.matched_pairs(t.tiles.where("is_valid"))
+    text = flow.pair_attributes(pairs, t.tiles, t.scenes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "embeddings.parquet" not in text and "Relation" not in text
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 0
