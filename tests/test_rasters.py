@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from registry.tables import Tables
-from swathe.operators import change, pairing, rasters
+from swathe.operators import change, pairing, rasters, tiling
 
 
 def _rows(tile: int, image: np.ndarray, keep=None) -> list[tuple]:
@@ -64,9 +64,10 @@ def _figures(rows: list[tuple], before: int, after: int) -> tuple:
     return (*best, changed, len(one), float(sum(v * v for d in gap.values() for v in d)), sum(gray(*v) < 35 for v in later.values()))
 
 
-@pytest.mark.parametrize("batch", [10_000, 97])
-def test_figures_equal_plain_python(spark, case, batch):
+@pytest.mark.parametrize("batch, broadcast", [(10_000, 200_000), (97, 0)])
+def test_figures_equal_plain_python(spark, case, monkeypatch, batch, broadcast):
     pairs, pixels, wanted = case
+    monkeypatch.setattr(tiling, "BROADCAST_TILES", broadcast)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     try:
         got = {r.pair_id: r for r in rasters.pair_figures(pairs, pixels).collect()}
